@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality_gam, quality_rules
+from . import language_id, minhash, mixing, quality_gam, quality_rules
 from .common import table
 
 
@@ -16,6 +16,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+FOUR_WORDS = minhash.NearDup(words=4)
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), FOUR_WORDS)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_gam.score(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
@@ -32,8 +39,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_quality_classifier, op5_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.ORACLE, "op9_mixing": mixing.copies_oracle("doc_id, source, n_chars, text, copy")}
+    return {"op3_minhash_near_dedup": minhash.oracle(FOUR_WORDS), "op5_quality_rules": quality_rules.ORACLE, "op9_mixing": mixing.copies_oracle("doc_id, source, n_chars, text, copy")}
