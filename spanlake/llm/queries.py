@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, minhash, mixing, quality_gam, quality_rules
+from . import embedding_dedup, language_id, minhash, mixing, quality_gam, quality_rules
 from .common import table
 
 
@@ -33,14 +33,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"), copy_cols=True)
     return out.select("doc_id", "source", "n_chars", "text", F.col("copy").cast("long").alias("copy"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op7_embedding_near_dedup, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": minhash.oracle(FOUR_WORDS), "op5_quality_rules": quality_rules.ORACLE, "op9_mixing": mixing.copies_oracle("doc_id, source, n_chars, text, copy")}
+    return {"op3_minhash_near_dedup": minhash.oracle(FOUR_WORDS), "op5_quality_rules": quality_rules.ORACLE, "op7_embedding_near_dedup": embedding_dedup.oracle(), "op9_mixing": mixing.copies_oracle("doc_id, source, n_chars, text, copy")}
