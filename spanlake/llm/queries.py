@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, minhash, mixing, quality_gam, quality_rules
+from . import bpe, embedding_dedup, language_id, minhash, mixing, quality_gam, quality_rules
 from .common import table
 
 
@@ -37,13 +37,22 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"), copy_cols=True)
     return out.select("doc_id", "source", "n_chars", "text", F.col("copy").cast("long").alias("copy"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op7_embedding_near_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op7_embedding_near_dedup, op8_bpe, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
