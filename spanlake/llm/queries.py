@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language_id, minhash, mixing, quality_gam, quality_rules
+from . import bpe, embedding_dedup, html_extract, language_id, line_dedup, minhash, mixing, pii, quality_gam, quality_rules
 from .common import table
 
 
@@ -16,6 +16,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_deleted")
+    return out.select("doc_id", "text", "n_deleted")
+
+
 FOUR_WORDS = minhash.NearDup(words=4)
 
 
@@ -33,6 +38,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: A real run passes its own secret key.
+PII_KEY = "spanlake demonstration key"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -51,8 +64,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "n_chars", "text", F.col("copy").cast("long").alias("copy"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op7_embedding_near_dedup, op8_bpe, op9_mixing)}
+    own = (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op4_quality_classifier, op5_quality_rules, op6_pii, op7_embedding_near_dedup, op8_bpe, op9_mixing, op10_html_extraction)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
