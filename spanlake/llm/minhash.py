@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, mix64, text_rows
+from .common import Workspace, fresh, mix64, text_rows
 from .components import connected_components
 
 
@@ -274,3 +274,16 @@ r AS (SELECT doc_id AS node, doc_id AS reach FROM d UNION SELECT b.y, r.reach FR
 SELECT d.doc_id, coalesce(max(z.n), 0)::BIGINT AS n_shingles, min(r.reach) AS component_id, d.doc_id = min(r.reach) AS kept
 FROM d LEFT JOIN z USING (doc_id) JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
 """
+
+
+def keep_one(docs: DataFrame, p: NearDup = NearDup(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, columns unchanged: of each component the document with the smallest id, once.
+
+    Rows with a null id stay. Of rows that share the id that stays, the one with the smallest text hash does.
+    """
+    ids = near_duplicates(docs, p, id_col=id_col, text_col=text_col).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
+    name, rank = fresh(docs, "__id"), fresh(docs, "__rank")
+    ids = ids.withColumnRenamed("__id", name)
+    named = docs.join(ids, docs[id_col].cast("long") == ids[name], "left_semi")
+    named = named.withColumn(rank, F.row_number().over(Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(F.col(text_col))))).filter(F.col(rank) == 1).drop(rank)
+    return named.unionByName(docs.filter(F.col(id_col).isNull()))
