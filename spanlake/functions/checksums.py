@@ -27,6 +27,12 @@ def digit(s: str, i: int) -> str:
 
 
 def weighted(s: str, weights: tuple[int, ...]) -> str:
+    """Spark SQL: the sum of the first digits of s times the weights, as one short expression."""
+    return f"aggregate(zip_with(slice(split({s}, ''), 1, {len(weights)}), array({', '.join(map(str, weights))}), (d, w) -> CAST(d AS INT) * w), 0, (t, x) -> t + x)"
+
+
+def weighted_plain(s: str, weights: tuple[int, ...]) -> str:
+    """The same sum written out, for engines without those functions."""
     return "(" + " + ".join(f"{w} * {digit(s, i)}" for i, w in enumerate(weights)) + ")"
 
 

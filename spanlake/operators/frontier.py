@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _shared(df: DataFrame) -> str:
-    spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='spanlake-')).rstrip('/')}/spanlake/grow-{uuid.uuid4().hex[:12]}"
+from .store import written
 
 
 def grow(seeds: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Nodes reachable from the seeds (column node) over edges (src, dst), seeds included."""
-    spark, root = seeds.sparkSession, _shared(seeds)
-
-    def write(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    reached = new = write(seeds.select("node").distinct(), "seed")
-    for i in range(rounds):
+    reached = new = written(seeds.select("node").distinct())
+    for _ in range(rounds):
         step = edges.join(new.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-        new = write(step.join(reached, "node", "left_anti"), f"round{i}")
+        new = written(step.join(reached, "node", "left_anti"))
         if new.isEmpty():
             return reached
         reached = reached.unionByName(new)

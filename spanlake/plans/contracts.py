@@ -36,21 +36,37 @@ def checked(body: str, check: str) -> str:
     return f"({body} || CAST(({check} + CASE WHEN {GOOD} THEN 0 ELSE 1 END) % 10 AS STRING))"
 
 
-INN_BODY = num(f"360000000 + ({K} * 7919) % 9999999", 9)
-INN = checked(INN_BODY, f"{cs.weighted(INN_BODY, cs.INN10)} % 11 % 10")
-OGRN_BODY = num(f"102360000000 + ({K} * 104729) % 99999999", 12)
-OGRN = checked(OGRN_BODY, f"CAST({OGRN_BODY} AS BIGINT) % 11 % 10")
-SNILS_BODY = num(f"112000000 + ({K} * 7919) % 9999999", 9)
-_total = cs.weighted(SNILS_BODY, tuple(range(9, 0, -1)))
-_control = f"(CASE WHEN {_total} < 100 THEN {_total} WHEN {_total} % 101 = 100 THEN 0 ELSE {_total} % 101 END)"
-SNILS = f"(substring({SNILS_BODY}, 1, 3) || '-' || substring({SNILS_BODY}, 4, 3) || '-' || substring({SNILS_BODY}, 7, 3) || ' ' || {num(f'({_control} + CASE WHEN {GOOD} THEN 0 ELSE 1 END) % 100', 2)})"
-BIK = f"('04' || {num(f'2000000 + {K} % 999999', 7)})"
-#: The account's ninth digit is its check digit; its weight with the bank's three digits before it is 1 (the 12th of 7, 1, 3 ...).
-_head, _tail = "'40702810'", num(f"{K} * 31 % 99999999999", 11)
-_zero = f"(substring({BIK}, 7, 3) || {_head} || '0' || {_tail})"
-_sum = cs.weighted(_zero, tuple(cs.ACCOUNT[i % 3] for i in range(23)))
-#: The digit d with weight w makes the sum a multiple of ten; w is 3 at place 11 counted from 0.
-ACCOUNT = f"({_head} || CAST((((10 - {_sum} % 10) % 10) * 7 + CASE WHEN {GOOD} THEN 0 ELSE 1 END) % 10 AS STRING) || {_tail})"
+#: Columns of the contracts' values, in steps: a later step reads the columns of the one before.
+_snils = cs.weighted_plain("snils_body", tuple(range(9, 0, -1)))
+_account = cs.weighted_plain("account_zero", tuple(cs.ACCOUNT[i % 3] for i in range(23)))
+STEPS = (
+    {
+        "inn_body": num(f"360000000 + ({K} * 7919) % 9999999", 9),
+        "ogrn_body": num(f"102360000000 + ({K} * 104729) % 99999999", 12),
+        "snils_body": num(f"112000000 + ({K} * 7919) % 9999999", 9),
+        "bik": f"('04' || {num(f'2000000 + {K} % 999999', 7)})",
+        "account_tail": num(f"{K} * 31 % 99999999999", 11),
+    },
+    {
+        "inn_check": f"{cs.weighted_plain('inn_body', cs.INN10)} % 11 % 10",
+        "ogrn_check": "CAST(ogrn_body AS BIGINT) % 11 % 10",
+        "snils_total": _snils,
+        "account_zero": "(substring(bik, 7, 3) || '407028100' || account_tail)",
+    },
+    {
+        "inn": checked("inn_body", "inn_check"),
+        "ogrn": checked("ogrn_body", "ogrn_check"),
+        "snils_check": "(CASE WHEN snils_total < 100 THEN snils_total WHEN snils_total % 101 = 100 THEN 0 ELSE snils_total % 101 END)",
+        # the check digit is the account's ninth; its weight is 3, whose inverse modulo ten is 7
+        "account_check": f"((10 - {_account} % 10) % 10) * 7",
+    },
+    {
+        "snils": f"(substring(snils_body, 1, 3) || '-' || substring(snils_body, 4, 3) || '-' || substring(snils_body, 7, 3) || ' ' || {num(f'(snils_check + CASE WHEN {GOOD} THEN 0 ELSE 1 END) % 100', 2)})",
+        "account": f"('40702810' || CAST((account_check + CASE WHEN {GOOD} THEN 0 ELSE 1 END) % 10 AS STRING) || account_tail)",
+    },
+    {"account_fits": "(" + " OR ".join(f"{cs.weighted_plain(f'({pre} || account)', tuple(cs.ACCOUNT[i % 3] for i in range(23)))} % 10 = 0" for pre in ("substring(bik, 7, 3)", "'0' || substring(bik, 5, 2)")) + ")"},
+)
+INN, OGRN, SNILS, BIK, ACCOUNT = "inn", "ogrn", "snils", "bik", "account"
 DATE = f"({num(f'1 + {K} % 28', 2)} || '.' || {num(f'1 + {K} % 12', 2)} || '.' || CAST(1990 + {K} % 30 AS STRING))"
 BIRTH = f"({num(f'CASE WHEN {GOOD} THEN 10 ELSE 31 END', 2)} || '.02.' || CAST(1950 + {K} % 50 AS STRING))"
 IP = f"(CAST({K} % 223 AS STRING) || '.' || CAST({K} * 7 % 256 AS STRING) || '.' || CAST({K} * 13 % 256 AS STRING) || '.' || CAST({K} * 29 % 256 AS STRING))"
@@ -58,7 +74,7 @@ IP = f"(CAST({K} % 223 AS STRING) || '.' || CAST({K} * 7 % 256 AS STRING) || '.'
 CONTRACT = (
     ("Договор поставки № ", Value("contract_number", f"('ДП-' || CAST(10000 + {K} AS STRING) || '/2024')"), " от ", Value("date", DATE)),
     ("Поставщик: ИНН ", Value("inn", INN, GOOD, "1.0"), " КПП ", Value("kpp", num(f"366200000 + {K} % 99999", 9), "true", "1.0"), " ОГРН ", Value("ogrn", OGRN, GOOD, "1.0")),
-    ("р/с ", Value("bank_account", ACCOUNT, "true", f"CASE WHEN {cs.account(ACCOUNT, BIK)} THEN 1.0 ELSE 0.75 END")),
+    ("р/с ", Value("bank_account", ACCOUNT, "true", "CASE WHEN account_fits THEN 1.0 ELSE 0.75 END")),
     ("Банк получателя, БИК ", Value("bik", BIK, "true", "1.0")),
     ("СНИЛС ", Value("snils", SNILS, GOOD, "1.0")),
     ("Паспорт серия ", Value("passport", f"({num(f'2000 + {K} % 99', 4)} || ' № ' || {num(f'100000 + {K} % 899999', 6)})"), " выдан отделом"),
@@ -87,8 +103,23 @@ def text_sql(pieces: tuple) -> str:
     return " || ".join(f"'{p}'" if isinstance(p, str) else p.sql for p in pieces)
 
 
+def with_values(customer: DataFrame) -> DataFrame:
+    for step in STEPS:
+        customer = customer.selectExpr("*", *(f"{v} AS {k}" for k, v in step.items()))
+    return customer
+
+
+def values_sql() -> str:
+    """The same columns as SQL over the table `customer`."""
+    out = f"SELECT {K} FROM customer"
+    for step in STEPS:
+        out = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in step.items())} FROM ({out})"
+    return out
+
+
 def segments(customer: DataFrame, doc_col: str = K) -> DataFrame:
     """doc_id, seg_order, text; one row per segment, no shuffle."""
+    customer = with_values(customer)
     array = ", ".join(f"named_struct('seg_order', {i}, 'text', {text_sql(p)})" for i, p in enumerate(CONTRACT))
     return customer.selectExpr(f"{doc_col} AS doc_id", f"inline(array({array}))")
 
@@ -100,8 +131,8 @@ def expected_sql(types: tuple[str, ...] | None = None) -> str:
         for j, p in enumerate(pieces):
             if isinstance(p, Value) and (types is None or p.type in types):
                 head = f"length({text_sql(pieces[:j])})" if j else "0"
-                out.append(f"SELECT {K} AS doc_id, {i} AS seg_order, CAST({head} AS INT) AS \"start\", CAST({head} + length({p.sql}) AS INT) AS \"end\", {p.sql} AS text, '{p.type}' AS type, CAST({p.confidence} AS DOUBLE) AS confidence FROM customer WHERE {p.expected}")
-    return "\nUNION ALL ".join(out)
+                out.append(f"SELECT {K} AS doc_id, {i} AS seg_order, CAST({head} AS INT) AS \"start\", CAST({head} + length({p.sql}) AS INT) AS \"end\", {p.sql} AS text, '{p.type}' AS type, CAST({p.confidence} AS DOUBLE) AS confidence FROM contract_values WHERE {p.expected}")
+    return f"SELECT * FROM (WITH contract_values AS MATERIALIZED ({values_sql()}) " + "\nUNION ALL ".join(out) + ")"
 
 
 RULE_TYPES = ("contract_number", "inn", "kpp", "ogrn", "bank_account", "bik", "snils", "passport", "phone", "email", "site", "ip_address", "registry_key", "power_of_attorney_number", "federal_law")

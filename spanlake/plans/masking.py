@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanlake.functions import normalize as nz
 from spanlake.functions.spans import quote, spans as span_sql
 from spanlake.operators import planning, rules
+from spanlake.operators.store import written
 
 from . import contracts
 from .detection import contract_segments
@@ -17,7 +18,8 @@ PLAN_TYPES = (*contracts.RULE_TYPES, "delivery_period")
 
 def contract_spans(spark, sf_dir):
     s = contract_segments(spark, sf_dir)
-    return rules.detect_rules(s).unionByName(rules.detect_terms(s).select("doc_id", "seg_order", "start", "end", "text", "type", "confidence"))
+    found = rules.detect_rules(s).unionByName(rules.detect_terms(s).select("doc_id", "seg_order", "start", "end", "text", "type", "confidence"))
+    return written(found)  # plans read the spans several times
 
 
 _expected = contracts.expected_sql(PLAN_TYPES)
@@ -55,10 +57,10 @@ for _i, _row in enumerate(contracts.CONTRACT):
             _text.append(f"coalesce({_at}, {_p.sql})")
         else:
             _text.append(_p.sql)
-    _pieces.append(f"SELECT c_custkey AS doc_id, {_i} AS seg_order, {' || '.join(_text)} AS masked FROM customer")
+    _pieces.append(f"SELECT c_custkey AS doc_id, {_i} AS seg_order, {' || '.join(_text)} AS masked FROM contract_values")
 
 
-@query(f"WITH {_plan}, t AS ({' UNION ALL '.join(_pieces)}) SELECT doc_id, seg_order, masked FROM t")
+@query(f"WITH {_plan}, contract_values AS MATERIALIZED ({contracts.values_sql()}), t AS ({' UNION ALL '.join(_pieces)}) SELECT doc_id, seg_order, masked FROM t")
 def r1_masked_text(spark, sf_dir):
     replacements, _, _ = planning.plan(contract_spans(spark, sf_dir))
     return planning.masked(contract_segments(spark, sf_dir), replacements).select("doc_id", "seg_order", "masked")
@@ -84,7 +86,7 @@ def m0_mask_email_by_lang(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     # only texts with an @ can hold a value: a cheap test before the spans
     found = docs.filter(F.col("text").contains("@")).withColumn("x", F.expr(span_sql("text", rules.EMAIL)))
-    one = found.select("doc_id", "lang", F.explode("x").alias("x")).select("doc_id", "lang", "x.*", F.lower("x.text").alias("key"))
+    one = found.select("doc_id", "lang", F.explode_outer("x").alias("x")).filter("x IS NOT NULL").select("doc_id", "lang", "x.*", F.lower("x.text").alias("key"))
     numbered = one.groupBy("doc_id", "key").agg(F.min("start").alias("first"))
     from pyspark.sql.window import Window
 
