@@ -99,6 +99,16 @@ CONTRACT = (
 )
 
 
+#: A contract's parties: who they are, where, and a value that is named again without its sign.
+PARTIES = (
+    ("Договор № ", Value("contract_number", f"('ДП-' || CAST(10000 + {K} AS STRING) || '/2024')"), ""),
+    ("", Value("org_name", f"('ООО «Альфа-' || CAST({K} AS STRING) || '»')"), ", именуемое в дальнейшем «Поставщик», и ", Value("org_name", "'АО \"Бета\"'"), ", ", Value("role", "'именуемое в дальнейшем «Заказчик'"), "»"),
+    ("Юридический адрес: ", Value("address", f"('394' || {num(f'{K} % 1000', 3)} || ', г. Воронеж, ул. Ленина, д. ' || CAST(1 + {K} % 90 AS STRING) || ', оф. ' || CAST({K} AS STRING))"), ". Склад там же"),
+    ("Копия ", Value("again", f"('ДП-' || CAST(10000 + {K} AS STRING) || '/2024')"), " без знака"),
+    ("Департамент казначейства, ООО без имени",),
+)
+
+
 def text_sql(pieces: tuple) -> str:
     return " || ".join(f"'{p}'" if isinstance(p, str) else p.sql for p in pieces)
 
@@ -117,17 +127,17 @@ def values_sql() -> str:
     return out
 
 
-def segments(customer: DataFrame, doc_col: str = K) -> DataFrame:
+def segments(customer: DataFrame, rows: tuple = CONTRACT, doc_col: str = K) -> DataFrame:
     """doc_id, seg_order, text; one row per segment, no shuffle."""
     customer = with_values(customer)
-    array = ", ".join(f"named_struct('seg_order', {i}, 'text', {text_sql(p)})" for i, p in enumerate(CONTRACT))
+    array = ", ".join(f"named_struct('seg_order', {i}, 'text', {text_sql(p)})" for i, p in enumerate(rows))
     return customer.selectExpr(f"{doc_col} AS doc_id", f"inline(array({array}))")
 
 
-def expected_sql(types: tuple[str, ...] | None = None) -> str:
+def expected_sql(types: tuple[str, ...] | None = None, rows: tuple = CONTRACT) -> str:
     """The spans that are in the contracts by construction, as SQL: doc_id, seg_order, start, end, text, type, confidence."""
     out = []
-    for i, pieces in enumerate(CONTRACT):
+    for i, pieces in enumerate(rows):
         for j, p in enumerate(pieces):
             if isinstance(p, Value) and (types is None or p.type in types):
                 head = f"length({text_sql(pieces[:j])})" if j else "0"
