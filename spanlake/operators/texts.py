@@ -75,7 +75,7 @@ def sweep(segments: DataFrame, accepted: DataFrame) -> DataFrame:
 def repair_layout(text: str) -> tuple[str, list[int]]:
     """(repaired text, mapping): look-alike letters in mixed words, soft hyphens, runs of white space, spaced-out tokens,
     glued labels and initials. mapping[i] is the source place of repaired place i, and its last entry the source's length."""
-    chars = [(c, i) for i, c in enumerate(text) if c not in "­​"]
+    chars = [(c, i) for i, c in enumerate(text) if c not in "\u00ad\u200b"]
     # Latin look-alikes inside words with Cyrillic letters
     out: list[tuple[str, int]] = []
     for m in re.finditer(r"\w+|\W+", "".join(c for c, _ in chars)):
@@ -92,7 +92,7 @@ def repair_layout(text: str) -> tuple[str, list[int]]:
             at = m.end()
         out = new + out[at:]
 
-    rewrite(r"(?<=\d)[   ](?=\d)", lambda m, p: [])
+    rewrite("(?<=\\d)[\u00a0\u2009\u202f](?=\\d)", lambda m, p: [])
     rewrite(r"(?<=\w)-?\n(?=\w)", lambda m, p: [] if m[0].startswith("-") else [(" ", p[0][1])])
     rewrite(r"\s+", lambda m, p: [(" ", p[0][1])])
     rewrite(r"(?<!\w)(?:[А-ЯЁA-Z0-9] ){2,}[А-ЯЁA-Z0-9](?!\w)", lambda m, p: [x for x in p if x[0] != " "] if m[0].upper() == m[0] else p)
