@@ -106,6 +106,21 @@ def _tree(grad: np.ndarray, hess: np.ndarray, leaves: int, smooth: float) -> np.
     return out
 
 
+def _pair_tree(g: np.ndarray, h: np.ndarray, smooth: float) -> np.ndarray:
+    """A tree of depth two over cells: the cut of the rows whose parts gain most from a cut of their own columns."""
+    best, out = -1.0, np.zeros_like(g)
+    for cut in range(1, max(2, len(g))):
+        step, gain = np.zeros_like(g), 0.0
+        for rows in (slice(0, cut), slice(cut, len(g))):
+            sums, weights = g[rows].sum(0), h[rows].sum(0)
+            leaf = _tree(sums, weights, 2, smooth)
+            step[rows] = leaf
+            gain += float((leaf * sums).sum())
+        if gain > best:
+            best, out = gain, step
+    return out
+
+
 def fit_gam(x: np.ndarray, y: np.ndarray, *, bins: int = 64, pair_bins: int = 8, rounds: int = 120, rate: float = 0.1, leaves: int = 3, n_pairs: int = 6, pair_rounds: int = 40, smooth: float = 2.0) -> Gam:
     """Fits on features x and labels y (0 or 1); constant labels give a constant model."""
     if not len(y) or y.min() == y.max():
@@ -141,13 +156,7 @@ def fit_gam(x: np.ndarray, y: np.ndarray, *, bins: int = 64, pair_bins: int = 8,
     for _ in range(pair_rounds):
         for (i, j), t in tables.items():
             g, h, at = cells(i, j)
-            # a tree of depth two: rows are cut first, then each part's columns
-            g2, h2 = g.reshape(sizes[i], sizes[j]), h.reshape(sizes[i], sizes[j])
-            part = _tree(g2.sum(1), h2.sum(1), 2, smooth)
-            step = np.zeros_like(g2)
-            for v in np.unique(part):
-                rows = part == v
-                step[rows] = _tree(g2[rows].sum(0), h2[rows].sum(0), 2, smooth)
+            step = _pair_tree(g.reshape(sizes[i], sizes[j]), h.reshape(sizes[i], sizes[j]), smooth)
             t += rate * step.ravel()
             f += (rate * step.ravel())[at]
     m.pairs = [(i, j, t.reshape(sizes[i], sizes[j])) for (i, j), t in tables.items()]
