@@ -139,7 +139,7 @@ def _link_classes(ws: Workspace, classes: DataFrame, n: int, p: SignTables) -> t
     units = units.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("lo", F.least("blk", "o")).withColumn("hi", F.greatest("blk", "o"))
     units = units.select("t", "c", "lo", "hi", (F.col("blk") != F.col("lo")).cast("int").alias("side"), "rep", "mult", "v", "code")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         reps = pdf["rep"].to_numpy()
         side = pdf["side"].to_numpy()

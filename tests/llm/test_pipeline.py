@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -30,7 +31,7 @@ def test_stage_names_and_columns(staged):
 
 def test_quality_stage(spark, staged):
     model = quality_gam.train(staged[0], spark.read.parquet(f"{DATA}/labels.parquet"))
-    want = {r.doc_id for r in staged[0].collect() if model.score(__import__("numpy").array([quality_gam.features(r.text)]))[0] >= 0.5}
+    want = {r.doc_id for r in staged[0].collect() if model.score(np.array([quality_gam.features(r.text)]))[0] >= 0.5}
     assert {r.doc_id for r in staged[1].collect()} == want
 
 
