@@ -26,4 +26,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import analysis, detection, masking, streams, words  # noqa: F401
+    from . import analysis, detection, masking, small, streams, words  # noqa: F401
