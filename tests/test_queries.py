@@ -4,6 +4,7 @@ import os
 import sys
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -29,7 +30,9 @@ def canon(df):
     def value(v):
         if not hasattr(v, "__len__") and pd.isna(v):
             return None
-        return round(float(v), 6) if isinstance(v, (int, float)) or getattr(getattr(v, "dtype", None), "kind", "") in "if" and hasattr(v, "dtype") else str(v)
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
+        return round(float(v), 6) if isinstance(v, (int, float, np.integer, np.floating)) else str(v)
 
     df = df[sorted(df.columns)]
     return list(df.columns), sorted((tuple(map(value, r)) for r in df.itertuples(index=False, name=None)), key=str)
