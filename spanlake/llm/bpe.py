@@ -49,12 +49,41 @@ FROM done JOIN vocab USING (id) GROUP BY w
 """
 
 
+#: The same for one long piece. A round contracts all places of the least rank that don't share a token, from the left, so
+#: rounds grow with the number of ranks, not with the length. That is the same as one place after another unless a pair
+#: that arises meanwhile has a lower rank; then the round contracts the leftmost place only. Rows are kept by position.
+LONG = """
+WITH RECURSIVE t(pos, npos, id, nid, m, live) USING KEY (pos) AS (
+  SELECT pos, npos, id, nid, merges.m, true FROM start LEFT JOIN merges ON l = id AND r = nid
+  UNION
+  (WITH cur AS (SELECT * FROM recurring.t WHERE live),
+   hit AS (SELECT pos, npos, m AS low FROM cur WHERE m = (SELECT min(m) FROM cur)),
+   chain AS (SELECT *, sum(fresh) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g
+             FROM (SELECT *, CASE WHEN lag(npos) OVER (ORDER BY pos) = pos THEN 0 ELSE 1 END AS fresh FROM hit)),
+   pick AS (SELECT pos, npos, low FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY pos) AS j FROM chain) WHERE j % 2 = 1),
+   pair AS (SELECT pick.*, n.npos AS npos2, n.nid AS nid2, p.id AS pid, q.pos IS NOT NULL AS beside
+            FROM pick JOIN cur n ON n.pos = pick.npos LEFT JOIN cur p ON p.npos = pick.pos LEFT JOIN pick q ON q.pos = n.npos),
+   bad AS (SELECT count(*) AS n FROM pair WHERE EXISTS (SELECT 1 FROM merges WHERE l = low AND r = nid2 AND m < low) OR EXISTS (SELECT 1 FROM merges WHERE l = pid AND r = low AND m < low) OR beside AND EXISTS (SELECT 1 FROM merges WHERE l = low AND r = low AND m < low)),
+   used AS (SELECT * FROM pair WHERE (SELECT n FROM bad) = 0 OR pos = (SELECT min(pos) FROM pair)),
+   new AS (SELECT u.pos, u.npos2 AS npos, u.low AS id, CASE WHEN v.pos IS NULL THEN u.nid2 ELSE u.low END AS nid, true AS live FROM used u LEFT JOIN used v ON v.pos = u.npos2
+           UNION ALL SELECT c.pos, c.npos, c.id, c.nid, false FROM cur c JOIN used u ON u.npos = c.pos
+           UNION ALL SELECT c.pos, c.npos, c.id, u.low, true FROM cur c JOIN used u ON u.pos = c.npos WHERE c.pos NOT IN (SELECT npos FROM used))
+   SELECT pos, npos, id, nid, CASE WHEN live THEN merges.m END, live FROM new LEFT JOIN merges ON l = id AND r = nid))
+SELECT string_agg(id, ',' ORDER BY pos) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
+FROM t JOIN vocab USING (id) WHERE live
+"""
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank, from a tiktoken file."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+#: Pieces of more bytes than this are encoded one by one.
+LONG_BYTES = 64
+
+
 class PieceCoder:
     """Encodes and decodes distinct pieces; remembers at most about `keep` of them, those met lately."""
 
@@ -81,21 +110,30 @@ class PieceCoder:
     def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), self.chunk):
             raw = [p.encode() for p in new[at : at + self.chunk]]
+            for piece, b in zip(new[at : at + self.chunk], raw):
+                if len(b) > LONG_BYTES and b not in self.ranks:
+                    self._put("start", self._rows([(0, b)]))
+                    self._keep(piece, *self.db.execute(LONG).fetchall()[0])
             whole = [i for i, b in enumerate(raw) if b in self.ranks]
             self._put("whole", {"w": np.array(whole, np.int32), "id": np.array([self.ranks[raw[i]] for i in whole], np.int32)})
-            cut = [(i, b) for i, b in enumerate(raw) if b not in self.ranks]
-            n = np.array([len(b) for _, b in cut], np.int64)
-            ids = self.single[np.frombuffer(b"".join(b for _, b in cut), np.uint8)]
-            ends = np.cumsum(n)
-            pos = np.arange(len(ids)) - np.repeat(ends - n, n)
-            nid, last = np.append(ids[1:], ids[:1]), np.zeros(len(ids), bool)
-            last[ends - 1] = True
-            start = {"w": np.repeat(np.array([i for i, _ in cut], np.int32), n), "pos": pos.astype(np.int32), "npos": (pos + 1).astype(np.int32), "id": ids}
-            self._put("start", start | {"nid": pa.array(nid, mask=last)})
+            self._put("start", self._rows([(i, b) for i, b in enumerate(raw) if b not in self.ranks and len(b) <= LONG_BYTES]))
             for w, own, decoded in self.db.execute(STEP).fetchall():
-                self.known[new[at + w]] = own
-                if decoded != raw[w]:
-                    self.odd[new[at + w]] = decoded
+                self._keep(new[at + w], own, decoded)
+
+    def _keep(self, piece: str, ids: str, decoded: bytes) -> None:
+        self.known[piece] = ids
+        if decoded != piece.encode():
+            self.odd[piece] = decoded
+
+    def _rows(self, cut: list[tuple[int, bytes]]) -> dict:
+        """Single bytes as rows (w, pos, npos, id, nid); the last of a piece has no next token."""
+        n = np.array([len(b) for _, b in cut], np.int64)
+        ids = self.single[np.frombuffer(b"".join(b for _, b in cut), np.uint8)]
+        ends = np.cumsum(n)
+        pos = np.arange(len(ids)) - np.repeat(ends - n, n)
+        last = np.zeros(len(ids), bool)
+        last[ends - 1] = True
+        return {"w": np.repeat(np.array([i for i, _ in cut], np.int32), n), "pos": pos.astype(np.int32), "npos": (pos + 1).astype(np.int32), "id": ids, "nid": pa.array(np.append(ids[1:], ids[:1]), mask=last)}
 
     def pieces(self, texts: list[str]) -> list[list[str]]:
         """Every text's pieces, all of them known afterwards."""

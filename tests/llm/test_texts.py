@@ -171,7 +171,7 @@ def test_bpe_equals_tiktoken(spark, weird):
         t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
         ids = coder.encode(t)
         assert ids == enc.encode_ordinary(t) and coder.decode(ids) == t.encode()
-    short = [(d, t) for d, t in WEIRD if d != 5] + [(8, "ab" * 300), (9, "<|endoftext|>")]
+    short = [*WEIRD, (8, "ab" * 300 + "é" * 99), (9, "<|endoftext|>"), (10, "".join(rng.choices("etaoinshrdlu", k=900))), (11, "!" * 700 + "aaab" * 60)]
     df = spark.createDataFrame([(d, t, 3) for d, t in short], "doc_id long, text string, n_tokens int")
     for r in bpe.tokens(df, path, P.PATTERN, with_ids=True).collect():
         t = dict(short)[r.doc_id] or ""
