@@ -58,8 +58,10 @@ def permuted_chars(s: str, key: str, kind: str) -> str:
     start = f"transform({chars}, c -> cast({value} as bigint))"
     half = "(size(acc) div 2)"
     other = f"IF(i % 2 = 0, slice(acc, {half} + 1, size(acc)), slice(acc, 1, {half}))"
-    shift = _number(f"concat_ws(':', {_q(key)}, {_q(kind)}, cast(i as string), cast(j as string), array_join(transform({other}, y -> cast(y as string)), ','))")
-    step = f"transform(acc, (x, j) -> IF((j < {half}) = (i % 2 = 0), (x + {shift}) % greatest(1, rd[j]), x))"
+    # the other half is hashed once a round, then each place of this half
+    digest = f"sha2(concat_ws(':', {_q(key)}, {_q(kind)}, cast(i as string), array_join(transform({other}, y -> cast(y as string)), ',')), 256)"
+    shift = _number("concat_ws(':', hd, cast(j as string))")
+    step = _let("hd", digest, f"transform(acc, (x, j) -> IF((j < {half}) = (i % 2 = 0), (x + {shift}) % greatest(1, rd[j]), x))")
     # put back: the k-th permutable character gets the k-th new value
     base = "CASE WHEN c >= '0' AND c <= '9' THEN 48 WHEN c >= 'a' AND c <= 'z' THEN 97 ELSE 65 END"
     fold = f"aggregate(transform(array({radix}), rd -> aggregate(sequence(1, {ROUNDS}), {start}, (acc, i) -> {step})), array(cast(0 as bigint)), (a, b) -> b)"

@@ -148,7 +148,7 @@ def test_line_dedup_matches_brute_force(spark):
     lines = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 3, 6, 12, 30]))) + f" {i}" for i in range(60)] + ["", "  "]
     runs = [rng.sample(lines, 6) for _ in range(5)]
     docs = [(i, "\n".join(sum((rng.choice(runs) if rng.random() < 0.5 else [rng.choice(lines)] for _ in range(rng.randrange(8))), []))) for i in range(80)]
-    docs += [(100, None), (101, ""), (102, "\n\n"), (103, docs[3][1]), (104, "\n".join(["same line with eleven words a b c d e f g"] * 30))]
+    docs += [(100, None), (101, ""), (102, "\n\n"), (103, docs[3][1]), (104, "\n".join(["same line with eleven words a b c d e f g"] * 30)), (105, "\n".join(f"line {i % 7} of many words a b c d e f g" for i in range(1500)))]
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, gone int").repartition(3)
     for p in (line_dedup.Winnow(), line_dedup.Winnow(4, 9)):
         got = line_dedup.dedup_lines(df, p, count_col="n")

@@ -122,7 +122,8 @@ def feistel(value, key, kind):
     half = len(v) // 2
     for i in range(1, pii.ROUNDS + 1):
         other = v[half:] if i % 2 == 0 else v[:half]
-        v = [(x + int(hashlib.sha256(f"{key}:{kind}:{i}:{j}:{','.join(map(str, other))}".encode()).hexdigest()[:12], 16)) % radix[j] if (j < half) == (i % 2 == 0) else x for j, x in enumerate(v)]
+        digest = hashlib.sha256(f"{key}:{kind}:{i}:{','.join(map(str, other))}".encode()).hexdigest()
+        v = [(x + int(hashlib.sha256(f"{digest}:{j}".encode()).hexdigest()[:12], 16)) % radix[j] if (j < half) == (i % 2 == 0) else x for j, x in enumerate(v)]
     out = iter(chr(b + x) for b, x in zip(low, v))
     return re.sub("[0-9A-Za-z]", lambda _: next(out), value)
 
@@ -226,6 +227,8 @@ def test_html(spark):
     assert (got[101].text, got[101].n_chars, got[102].text) == ("", 0, "")
     assert got[103].text == "Unclosed & x plain block tail" and got[104].text == "no tags at all"
     assert all(r.n_chars == len(r.text) for r in got.values())
+    deep = "<div>" * 20_000 + "deep" + "<b>" * 20_000 + "</i>" * 20_000
+    assert html_extract.main_text(html_extract.parse(deep), set()) == "deep"
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
