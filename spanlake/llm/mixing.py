@@ -21,17 +21,21 @@ from pyspark.sql import functions as F
 from .common import fresh, unit_hash
 
 
-def poisson_inverse(u: Column, rate: Column, max_rate: float) -> Column:
-    """The smallest k with P(X <= k) > u for X ~ Poisson(rate); terms run until the tail is below 2**-60."""
+def poisson_cdf(rate: Column, max_rate: float) -> Column:
+    """P(X <= 0), P(X <= 1), ... for X ~ Poisson(rate), rate <= max_rate, until the tail is below 2**-60."""
     terms = int(max_rate + 12 * math.sqrt(max_rate + 1) + 30)
-    steps = F.sequence(F.lit(1), F.lit(terms))
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
+    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
 
     def step(s: Column, i: Column) -> Column:
         p = s["p"] * rate / i.cast("double")
-        return F.when(u < s["cdf"], s).otherwise(F.struct(p.alias("p"), (s["cdf"] + p).alias("cdf"), i.alias("k")))
+        return F.struct(p.alias("p"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + p)).alias("cdf"))
 
-    return F.aggregate(steps, start, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda s: s["cdf"])
+
+
+def poisson_inverse(u: Column, cdf: Column) -> Column:
+    """The smallest k with P(X <= k) > u."""
+    return F.size(F.filter(cdf, lambda c: c <= u))
 
 
 #: Rates of at most so many sources (tens of bytes each) are broadcast; more are joined by a shuffle.
@@ -48,7 +52,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     the shuffle key. The driver gets three totals; the counts are aggregated per source and
     joined back, by broadcast only below BROADCAST_SOURCES; a source's rows are never gathered.
     """
-    names = {k: fresh(docs, f"__mix_{k}") for k in ("source", "n", "rate", "u", "copies", "copy", "key", "text")}
+    names = {k: fresh(docs, f"__mix_{k}") for k in ("source", "n", "rate", "parts", "cdf", "copies", "copy", "key", "text")}
     src = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-"))
     own = docs.withColumn(names["source"], src)
     counts = own.groupBy(names["source"]).agg(F.count(F.lit(1)).alias(names["n"]))
@@ -60,17 +64,20 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
             target = F.when(F.col(names["source"]) == F.lit("-" if k is None else f"={k}"), F.lit(float(w))).otherwise(target)
     n_sources, total, weight_sum = counts.agg(F.count(F.lit(1)), F.sum(names["n"]), F.sum(target)).first()
     rates = counts.select(names["source"], (target / F.lit(float(weight_sum or 1)) * F.lit(float((total or 0) * epochs)) / F.col(names["n"])).alias(names["rate"]))
+    # one table of the distribution per source, looked up by every row; a rate over PART_RATE is the sum of equal parts' draws
+    rate = F.col(names["rate"])
+    rates = rates.filter(rate > 0).withColumn(names["parts"], F.greatest(F.lit(1), F.ceil(rate / F.lit(PART_RATE))).cast("int"))
+    rates = rates.withColumn(names["cdf"], poisson_cdf(rate / F.col(names["parts"]), PART_RATE))
     if n_sources <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    ident = [F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-")), F.coalesce(F.sha2(F.col(text_col), 256), F.lit("-"))]
-    joined = own.join(rates, names["source"])
-    rate = F.col(names["rate"])
-    parts = F.greatest(F.lit(1), F.ceil(rate / F.lit(PART_RATE))).cast("int")
-    # a draw per part: one for nearly all sources, more only where a source is repeated over PART_RATE times
-    draws = F.transform(F.sequence(F.lit(1), parts), lambda i: poisson_inverse(unit_hash(*ident, i, seed=seed), rate / parts.cast("double"), PART_RATE))
+    joined = own.join(rates, names["source"]).withColumn(names["text"], F.coalesce(F.sha2(F.col(text_col), 256), F.lit("-")))
+    ident = [F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("-")), F.col(names["text"])]
+    # the uniform numbers are an array of their own: inside the look-up they would be hashed again for each of its steps
+    uniform = F.transform(F.sequence(F.lit(1), F.col(names["parts"])), lambda i: unit_hash(*ident, i, seed=seed))
+    draws = F.transform(uniform, lambda u: poisson_inverse(u, F.col(names["cdf"])))
     copies = F.aggregate(draws, F.lit(0), lambda s, x: s + x)
-    out = joined.withColumn(names["copies"], F.when(rate > 0, copies).otherwise(F.lit(0))).filter(F.col(names["copies"]) > 0)
-    out = out.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"]))))
+    out = joined.withColumn(names["copies"], copies).filter(F.col(names["copies"]) > 0)
+    out = out.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"])))).drop(names["cdf"])
     key = F.xxhash64(F.lit(seed), *ident, F.col(names["copy"]))
     out = out.withColumn(names["key"], key)
     # the key is a hash, so dealing rows by it and sorting each part is a shuffle of the whole
