@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.normalize import ORG_FORMS
 from spanlake.functions.spans import quote, spans
-from spanlake.operators.rules import L, R, UI, exploded
+from spanlake.operators.rules import L, UI, exploded
 
 #: Types that are looked for again, and the least length of their values.
 SWEEP_TYPES = ("contract_number", "inn", "ogrn", "snils", "bik", "kpp", "bank_account", "person", "org_name")
