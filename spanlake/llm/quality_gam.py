@@ -14,7 +14,6 @@ lang, source and the id are never features.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass, field
 
