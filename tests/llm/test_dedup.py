@@ -173,6 +173,22 @@ def test_line_dedup_edges(spark):
     assert sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(df).collect()) == [(0, ""), (3, f"{t}\nx"), (7, ""), (7, "")]
 
 
+def test_every_repeated_line_goes(spark):
+    """Short lines in different surroundings, copies of short texts, and runs that differ from their first place."""
+    rng = random.Random(8)
+    lines = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 2, 5, 9, 12, 19, 30]))) for _ in range(80)] + ["", " "]
+    docs = [(i, "\n".join([f"own {i}", "hot line", *rng.choices(lines, k=rng.randrange(8)), f"end {i}"])) for i in range(150)] + [(200 + i, "a short copy") for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got, seen = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}, set()
+    for d, t in docs:
+        want = []
+        for x in t.split("\n"):
+            if not x.strip() or x.strip() not in seen:
+                want.append(x)
+            seen.add(x.strip())
+        assert got[d] == "\n".join(want)
+
+
 def brute_vectors(vectors):
     ok = {i: np.array(v, float) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     pairs = [(a, b) for a, b in itertools.combinations(ok, 2) if ok[a] @ ok[b] / np.sqrt((ok[a] @ ok[a]) * (ok[b] @ ok[b])) >= 0.9]
