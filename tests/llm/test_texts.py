@@ -236,3 +236,16 @@ def test_html_keeps_copied_articles(spark):
     page = "<body><nav>m</nav><article><p>The same text on all pages.</p></article></body>"
     got = html_extract.extract(spark.createDataFrame([(i, "http://h/", page) for i in range(40)], "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {"The same text on all pages."}
+
+
+def test_html_keeps_paragraphs_of_hosts_full_of_copies(spark):
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(8))
+    page = lambda k, own: f"<html><body><article><div class=body>{''.join(f'<p>{words((k, j))}</p>' for j in range(own))}</div></article></body></html>".replace("(", "").replace(")", "").replace(", ", "y")
+    rows = [(i, page(0, 10)) for i in range(80)] + [(100 + i, page(i + 1, 1 + i % 4)) for i in range(20)]
+    # copies that differ by a mark outside the text are not equal pages
+    rows += [(1000 + i, f"{html}<!-- {i} -->") for i, html in rows]
+    got = html_extract.extract(spark.createDataFrame([(i, "http://copies/" if i < 1000 else "http://stamped/", h) for i, h in rows], "page_id long, url string, html string")).collect()
+    assert len(got) == 200 and all(r.text.split()[0].startswith("w") for r in got)
+    bare = [(i, f"<html><body><div class=a><p>{words(0)}</p></div></body></html>") for i in range(80)] + [(100 + i, f"<html><body><div class=a><p>{words(i + 1)}</p></div></body></html>") for i in range(20)]
+    got = html_extract.extract(spark.createDataFrame([(i, "http://bare/", h) for i, h in bare], "page_id long, url string, html string")).collect()
+    assert all(r.text for r in got)
