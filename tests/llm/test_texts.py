@@ -249,3 +249,17 @@ def test_html_keeps_paragraphs_of_hosts_full_of_copies(spark):
     bare = [(i, f"<html><body><div class=a><p>{words(0)}</p></div></body></html>") for i in range(80)] + [(100 + i, f"<html><body><div class=a><p>{words(i + 1)}</p></div></body></html>") for i in range(20)]
     got = html_extract.extract(spark.createDataFrame([(i, "http://bare/", h) for i, h in bare], "page_id long, url string, html string")).collect()
     assert all(r.text for r in got)
+
+
+def test_html_verdict_is_the_same_on_large_hosts_and_rare_text_keeps_its_branch(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(8))
+    host = lambda size: [(f"<html><body><p>{text(i)}</p>" + ("<div class=w-1/2><div>same old box</div></div>" if i % (size // 10) == 0 else "") + "</body></html>") for i in range(size)]
+    rows = [("http://small/", h) for h in host(100)] + [("http://large/", h) for h in host(1200)]
+    rows += [("http://rare/", f"<html><body><div id=content><div class=msg>please come back</div></div><!-- {i} --></body></html>") for i in range(93)]
+    rows += [("http://rare/", f"<html><body><div id=content><p>{text(i)}</p><p>{text(-i - 1)}</p></div></body></html>") for i in range(7)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")
+    got = html_extract.extract(df).collect()
+    assert not any("same old box" in r.text for r in got)
+    assert all(r.text.startswith("w") for r in got if r.url in ("http://small/", "http://large/"))
+    assert sum(r.text.startswith("w") for r in got if r.url == "http://rare/") == 7
+    assert html_extract._marks("div", ' class="w-1/2"')[0] == "div.w-0\\0"
