@@ -10,8 +10,8 @@ one edge of a spanning forest of the block's links.
 k grows with the logarithm of the number of classes, the number of tables follows from the
 wanted probability `miss` of not meeting at exactly the threshold angle.
 
-Defined results: a null or zero vector, one with null or non-finite components, and one of
-another length than the longest common one links with nothing; a null id takes part in no link
+Defined results: a null or zero vector and one with null or non-finite components link with
+nothing; vectors link with vectors of their own length only; a null id takes part in no link
 and gets a null component; rows with equal id and vector count once each as links of others
 but an id is one node; an empty table gives an empty table.
 """
@@ -107,11 +107,11 @@ def near_vectors(vectors: DataFrame, p: SignTables = SignTables(), *, id_col: st
     usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", bad) & F.exists("v", lambda x: x != 0), F.lit(False))
     text = F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")))
     keyed = rows.withColumn("ok", usable).select("vec_id", "v", F.when(F.col("ok"), F.sha2(text, 256)).alias("key"))
-    classes, seen = ws.write(keyed.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")), "classes", n=F.count(F.lit(1)), dim=F.max(F.size("v")))
+    classes, seen = ws.write(keyed.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")), "classes", n=F.count(F.lit(1)))
     own = keyed.select("vec_id", "key").join(classes.select("key", "rep", "mult"), "key", "left")
     linked = comp = None
     if seen["n"] > 1:
-        linked, comp = _link_classes(ws, classes.filter(F.size("v") == seen["dim"]), seen["n"], p)
+        linked, comp = _link_classes(ws, classes, seen["n"], p)
     if linked is None:
         out = own.select("vec_id", (F.coalesce("mult", F.lit(1)) - 1).alias("n_links"), F.coalesce("rep", "vec_id").alias("component_id"))
     else:
@@ -126,30 +126,38 @@ def _link_classes(ws: Workspace, classes: DataFrame, n: int, p: SignTables) -> t
 
     def sign(batches):
         for b in batches:
-            x = np.array(b.column("v").to_pylist(), float)
-            got = codes(x, bits, tables, p.seed) if len(x) else np.zeros((0, tables), np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("mult"), b.column("v"), pa.array(list(got), pa.list_(pa.int32()))], schema=schema)
+            vectors = b.column("v").to_pylist()
+            by_length: dict[int, list[int]] = {}
+            for i, v in enumerate(vectors):
+                by_length.setdefault(len(v), []).append(i)
+            got: list = [None] * len(vectors)
+            for at in by_length.values():
+                for i, code in zip(at, codes(np.array([vectors[i] for i in at], float), bits, tables, p.seed)):
+                    got[i] = code
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("mult"), b.column("v"), pa.array(got, pa.list_(pa.int32()))], schema=schema)
 
     coded = ws.write(classes.select("rep", "mult", "v").mapInArrow(sign, "rep long, mult long, v array<double>, code array<int>"), "codes")
-    ids = coded.select("rep", F.posexplode("code").alias("t", "c"))
+    # vectors of different lengths never share a bucket
+    dim = F.size("v").alias("dim")
+    ids = coded.select(dim, "rep", F.posexplode("code").alias("t", "c"))
     # classes of a bucket are dealt to its blocks by hash; every pair of blocks is one task's unit
-    blocks = ids.groupBy("t", "c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t", "c", F.ceil(F.col("n") / F.lit(float(p.block))).cast("int").alias("nb"))
+    blocks = ids.groupBy("dim", "t", "c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("dim", "t", "c", F.ceil(F.col("n") / F.lit(float(p.block))).cast("int").alias("nb"))
     at = F.pmod(F.xxhash64("rep", "t"), F.col("nb")).cast("int")
-    units = coded.select("*", F.posexplode("code").alias("t", "c")).join(blocks, ["t", "c"]).withColumn("blk", at)
+    units = coded.select("*", dim, F.posexplode("code").alias("t", "c")).join(blocks, ["dim", "t", "c"]).withColumn("blk", at)
     units = units.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("lo", F.least("blk", "o")).withColumn("hi", F.greatest("blk", "o"))
-    units = units.select("t", "c", "lo", "hi", (F.col("blk") != F.col("lo")).cast("int").alias("side"), "rep", "mult", "v", "code")
+    units = units.select("dim", "t", "c", "lo", "hi", (F.col("blk") != F.col("lo")).cast("int").alias("side"), "rep", "mult", "v", "code")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         reps = pdf["rep"].to_numpy()
         side = pdf["side"].to_numpy()
-        if key[2] != key[3] and (side.min() == side.max()):
+        if key[3] != key[4] and (side.min() == side.max()):
             return pd.DataFrame({"rep": reps[:0], "links": reps[:0], "root": reps[:0]})
-        links, root = block_links(reps, np.stack(pdf["v"]).astype(float), pdf["mult"].to_numpy(), np.stack(pdf["code"]), int(key[0]), side, p.cosine)
+        links, root = block_links(reps, np.stack(pdf["v"]).astype(float), pdf["mult"].to_numpy(), np.stack(pdf["code"]), int(key[1]), side, p.cosine)
         hit = links > 0
         return pd.DataFrame({"rep": reps[hit], "links": links[hit], "root": root[hit]})
 
-    found, seen = ws.write(units.groupBy("t", "c", "lo", "hi").applyInPandas(run, "rep long, links long, root long").groupBy("rep", "root").agg(F.sum("links").alias("links")), "found", n=F.count(F.lit(1)))
+    found, seen = ws.write(units.groupBy("dim", "t", "c", "lo", "hi").applyInPandas(run, "rep long, links long, root long").groupBy("rep", "root").agg(F.sum("links").alias("links")), "found", n=F.count(F.lit(1)))
     if not seen["n"]:
         return None, None
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -223,3 +223,15 @@ def test_table_sizes_reach_the_wanted_recall():
     for n in (10, 10**4, 10**6, 10**9):
         bits, tables = embedding_dedup.SignTables().sizes(n)
         assert (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables <= 1e-4
+
+
+def test_vectors_of_several_lengths(spark):
+    """Vectors of each length link among themselves, whatever the longest is."""
+    rng = np.random.default_rng(4)
+    base = {n: rng.normal(size=(4, n)) for n in (8, 16)}
+    rows = [(i * 2 + (n == 16), [float(np.float32(x)) for x in base[n][i % 4] + rng.normal(size=n) * 0.05]) for n in (8, 16) for i in range(40)] + [(500, [1.0] * 17)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
+    want = {500: (0, 500, True)}
+    for n in (8, 16):
+        want |= brute_vectors([r for r in rows if len(r[1]) == n])
+    assert got == want
