@@ -10,7 +10,8 @@ pseudonyms in all documents, and different values different ones.
 The text is cut at the matches; a match's pseudonym is an expression over it; the parts are
 joined again. Texts without a digit, an @ or a secret's name skip all of this. No shuffle.
 
-Defined results: a null text stays null with no value, an empty one empty; candidates that fail
+Defined results: a null text stays null with no value, an empty one empty; of a run of digit groups that fails the
+Luhn test the first, then longest, run of whole groups inside that passes is the card; candidates that fail
 their validation (a wrong check digit, 31 February, an octet over 255) stay as they are and
 don't count; equal texts get equal results; a null id is carried through. A value may be its
 own pseudonym by chance, once in the number of values of its format.
@@ -105,7 +106,15 @@ def pseudonym(m: str, key: str) -> str:
     access = f"concat('AKIA', {permuted_chars(f'substring({m}, 5)', key, 'access')})"
     cc = rf"^(\+\d{{1,3}}(?=[ .(-]))?(.*)$"
     phone = f"concat(regexp_extract({m}, {_q(cc)}, 1), {permuted_chars(f'regexp_extract({m}, {_q(cc)}, 2)', key, 'phone')})"
-    card = _let("bd", permuted_chars(f"substring({m}, 1, length({m}) - 1)", key, "card"), f"concat(bd, cast((10 - {luhn_sum(_digits('bd'), False)} % 10) % 10 as string))")
+    card = _let("bd", permuted_chars("substring(cm, 1, length(cm) - 1)", key, "card"), f"concat(bd, cast((10 - {luhn_sum(_digits('bd'), False)} % 10) % 10 as string))")
+    # the whole run comes first, as the earliest start with the most digits
+    part = "substring({m}, s.at, e.at - s.at)".format(m=m)
+    starts = f"filter(transform(sequence(1, length({m})), k -> named_struct('at', k)), s -> s.at = 1 OR substring({m}, s.at - 1, 1) IN (' ', '-'))"
+    ends = f"filter(transform(sequence(length({m}) + 1, 2, -1), k -> named_struct('at', k)), e -> e.at - s.at >= 13 AND (e.at > length({m}) OR substring({m}, e.at, 1) IN (' ', '-')))"
+    passes = f"length({_digits(part)}) >= 13 AND {luhn_sum(_digits(part), True)} % 10 = 0"
+    runs = f"flatten(transform({starts}, s -> transform(filter({ends}, e -> {passes}), e -> named_struct('a', s.at, 'b', e.at))))"
+    put = f"concat(substring({m}, 1, rn.a - 1), {_let('cm', f'substring({m}, rn.a, rn.b - rn.a)', card)}, substring({m}, rn.b))"
+    cards = _let("rn", f"get({runs}, 0)", f"IF(rn IS NULL, {none}, {out('card', put)})")
     octet = lambda k: f"cast(split({m}, '[.]')[{k}] as bigint)"
     ip_pair = permuted_pair(f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", 65536, 65536, key, "ip")
     ip = _let("pr", ip_pair, "concat_ws('.', cast(pr.a div 256 as string), cast(pr.a % 256 as string), cast(pr.b div 256 as string), cast(pr.b % 256 as string))")
@@ -124,7 +133,7 @@ def pseudonym(m: str, key: str) -> str:
         f"WHEN {m} RLIKE {_q(r'^\d{1,3}(\.\d{1,3}){3}$')} THEN IF({ip_ok}, {out('ip', ip)}, {none}) "
         f"WHEN {m} RLIKE {_q(r'^\d{3}-\d{2}-\d{4}$')} THEN IF({ssn_ok}, {out('ssn', ssn)}, {none}) "
         f"WHEN {m} RLIKE {_q(r'^([+(]|\d{3}-\d{3}-\d{4}$)')} THEN {out('phone', phone)} "
-        f"WHEN {luhn_sum(_digits(m), True)} % 10 = 0 THEN {out('card', card)} ELSE {none} END"
+        f"WHEN {luhn_sum(_digits(m), True)} % 10 = 0 THEN {out('card', _let('cm', m, card))} ELSE {cards} END"
     )
 
 

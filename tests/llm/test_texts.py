@@ -263,3 +263,17 @@ def test_html_verdict_is_the_same_on_large_hosts_and_rare_text_keeps_its_branch(
     assert all(r.text.startswith("w") for r in got if r.url in ("http://small/", "http://large/"))
     assert sum(r.text.startswith("w") for r in got if r.url == "http://rare/") == 7
     assert html_extract._marks("div", ' class="w-1/2"')[0] == "div.w-0\\0"
+
+
+def test_pii_finds_a_card_beside_short_numbers(spark):
+    card = "4111 1111 1111 1111"
+    near = [f"card {card} 12/27", "4111111111111111 123", "12 4111111111111111", f"7 {card} 9", "4111-1111-1111-1111-12"]
+    clear = ["1234 5678 9012 3456 78", "1111 1111 1111 1 23"]
+    df = spark.createDataFrame([*enumerate([*near, *clear, card])], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    new = got[len(near) + len(clear)].text
+    assert new != card and [got[i].kinds for i in range(len(near))] == [["card"]] * len(near)
+    assert got[0].text == f"card {new} 12/27" and got[3].text == f"7 {new} 9"
+    assert got[1].text == new.replace(" ", "") + " 123" and got[2].text == "12 " + new.replace(" ", "") and got[4].text == new.replace(" ", "-") + "-12"
+    for i, t in enumerate(clear, len(near)):
+        assert (got[i].text == t) == (got[i].kinds == [])
