@@ -87,6 +87,16 @@ def p4_p5_p6_samples(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") > 60, F.concat(F.left("text", F.lit(60)), F.lit("…"))).otherwise(F.col("text")).alias("sample"), F.trim(F.regexp_replace(F.left("text", F.lit(200)), r"[ \t\n\r\f\x0B]+", " ")).alias("collapsed"))
 
 
+#: What Python's str.split() parts words by.
+SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(text, '{SPACE}', ' ', 'g')) AS collapsed FROM documents")
+def p4_collapsed_texts(spark, sf_dir):
+    """The white-space collapse over the whole text; p4_p5_p6_samples shows it behind P5's clamp to 200 characters."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", SPACE, " ")).alias("collapsed"))
+
+
 @query("SELECT l_orderkey, l_linenumber, round(l_quantity / 612.0, 6) AS x0, round(l_tax, 6) AS y0, round((l_quantity + 12) / 612.0, 6) AS x1, l_quantity >= 0 AND l_quantity < l_quantity + 12 AND (l_quantity + 12) / 612.0 <= 1 AS valid FROM lineitem")
 def p12_v12_boxes(spark, sf_dir):
     q = F.col("l_quantity")

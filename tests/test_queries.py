@@ -51,3 +51,10 @@ def test_query_without_sql_has_rows(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_texts_are_collapsed(spark, tmp_path):
+    texts = ["  a \t b\n" * 200 + " end ", "x\u00a0\u2003y", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.collapsed for r in registry.QUERIES["p4_collapsed_texts"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else " ".join(t.split()) for i, t in enumerate(texts)}
