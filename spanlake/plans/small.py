@@ -194,16 +194,23 @@ def o4_o5_greedy_spans(spark, sf_dir):
 @query("""WITH b AS (SELECT item_id, text AS passage FROM benchmark), d AS (SELECT doc_id, text FROM documents)
 SELECT doc_id, item_id, CAST((length(text) - length(replace(text, passage, ''))) / length(passage) AS BIGINT) AS n FROM d JOIN b ON contains(text, passage)""")
 def o14_multi_pattern_search(spark, sf_dir):
-    """Passages in texts: candidates by the hash of the passage's first eight words at every place of the text, then the exact test."""
+    """Passages in texts: candidates by the hash of a passage's inner words, eight at most, at every place of the text, then
+    the exact test; a passage without an inner word is tested on every text."""
     split = "split({}, '[ \\\\n]+')"
-    # an end word of a passage can be a part of a longer word of the text, so the head starts at the second word
+    # the end words of a passage can be parts of longer words of the text, so only those between are a key
     b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    b = b.withColumn("h", F.expr(f"xxhash64(array_join(slice({split.format('passage')}, 2, 8), ' '))"))
+    b = b.withColumn("len", F.least(F.expr(f"size({split.format('passage')})") - 2, F.lit(8)))
+    keyed = b.filter("len > 0").withColumn("h", F.expr(f"xxhash64(array_join(slice({split.format('passage')}, 2, len), ' '))"))
+    lengths = sorted(r["len"] for r in keyed.select("len").distinct().collect())  # eight values at most
     # the words are bound once per text: a column of them would be split again for each place
-    heads = "array_distinct(transform(sequence(1, greatest(1, size(w) - 7)), i -> xxhash64(array_join(slice(w, i, 8), ' '))))"
-    d = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode_outer(F.expr(f"element_at(transform(array({split.format('text')}), w -> {heads}), 1)")).alias("h"))
-    hits = d.join(b, "h").filter(F.expr("contains(text, passage)"))
-    n = ((F.length("text") - F.length(F.replace("text", F.col("passage"), F.lit("")))) / F.length("passage")).cast("long")
+    heads = [f"transform(sequence(1, greatest(1, size(w) - {n - 1})), i -> xxhash64(array_join(slice(w, i, {n}), ' ')))" for n in lengths]
+    heads = f"array_distinct(concat({', '.join(heads) or 'cast(array() as array<bigint>)'}))"
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text")
+    d = texts.withColumn("h", F.explode(F.expr(f"element_at(transform(array({split.format('text')}), w -> {heads}), 1)")))
+    found = F.expr("contains(text, passage)")
+    hits = d.join(keyed, "h").filter(found).select("doc_id", "item_id", "text", "passage")
+    hits = hits.unionByName(texts.join(b.filter("len <= 0"), found).select("doc_id", "item_id", "text", "passage"))
+    n = F.try_divide(F.length("text") - F.length(F.replace("text", F.col("passage"), F.lit(""))), F.length("passage")).cast("long")
     return hits.select("doc_id", "item_id", n.alias("n")).distinct()
 
 

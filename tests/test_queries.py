@@ -58,3 +58,13 @@ def test_whole_texts_are_collapsed(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.collapsed for r in registry.QUERIES["p4_collapsed_texts"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else " ".join(t.split()) for i, t in enumerate(texts)}
+
+
+def test_passages_of_few_words_are_found(spark, tmp_path):
+    words = [f"w{i}" for i in range(14)]
+    texts = ["pre " + " ".join(words) + ", post", "ab" * 20, "one two", " ".join(words[:9]) + ". " + " ".join(words[:9]) + "!", "none of these"]
+    passages = [" ".join(words[:n]) for n in range(1, 14)] + ["aba", "ne two", "7 w8 w", "absent", "of these and"]
+    for name, column, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", passages)):
+        spark.createDataFrame(list(enumerate(rows)), f"{column} long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r.doc_id, r.item_id, r.n) for r in registry.QUERIES["o14_multi_pattern_search"](spark, str(tmp_path)).collect()}
+    assert got == {(i, j, t.count(p)) for i, t in enumerate(texts) for j, p in enumerate(passages) if p in t}
