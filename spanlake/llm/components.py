@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 
+def exchanged(df: DataFrame, key: str) -> DataFrame:
+    """df with its key as a new expression: a join exchanges an aggregate's rows once more instead of keeping the other side's
+    rows of a key in the one task that made it, which adaptive execution could not split."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
 def connected_components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFrame | None:
     """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
 
-    Minima are aggregated before the shuffle and joined back, so a node with very many
-    neighbours is never gathered in one task. Each round is written to the shared folder;
-    rounds end when the edges no longer change. None if there is no edge. Edges with a null
-    end and loops are ignored; repeated edges count once.
+    Minima are aggregated before the shuffle and joined back as one row a node, both sides by an exchange of their own, so
+    adaptive execution deals the edges of a node with very many neighbours to several tasks. Each round is written to the
+    shared folder; rounds end when the edges no longer change. None if there is no edge. Edges with a null end and loops are ignored; repeated edges count once.
     """
     a, b = F.col("a"), F.col("b")
     state = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
@@ -24,11 +29,11 @@ def connected_components(ws: Workspace, edges: DataFrame, max_rounds: int = 60)
         return None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), a).alias("m"))
+        low = exchanged(both.groupBy("a").agg(F.least(F.min("b"), a).alias("m")), "a")
         large = both.filter(b > a).join(low, "a").select(b.alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
-        new = low.select("a", F.col("m").alias("b")).unionByName(small).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(exchanged(least, "a"), "a").filter(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
+        new = least.select("a", F.col("m").alias("b")).unionByName(small).distinct()
         after, now = ws.write(new, "edges", **state)
         ws.drop(current)
         current, done, seen = after, now == seen, now
@@ -37,3 +42,19 @@ def connected_components(ws: Workspace, edges: DataFrame, max_rounds: int = 60)
     else:
         raise RuntimeError("connected components did not settle")
     return current.select(a.alias("node"), b.alias("component")).unionByName(current.select(b.alias("node"), b.alias("component")).distinct())
+
+
+def extended_components(ws: Workspace, known: DataFrame | None, more: DataFrame) -> DataFrame | None:
+    """Components after further edges (a, b): those between known components are components of components."""
+    if known is None:
+        return connected_components(ws, more)
+    known = ws.write(known, "components")
+    name = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    lifted = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    lifted = connected_components(ws, lifted)
+    if lifted is None:
+        return known
+    up = lifted.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    # a node that no known component has, or names, is its own component so far
+    alone = lifted.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return known.unionByName(alone).join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
