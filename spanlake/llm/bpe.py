@@ -2,76 +2,66 @@
 
 A text is cut into pieces by the tokenizer's pattern. Each batch hands its distinct new pieces to
 DuckDB as rows (piece, position, token) of single bytes. A recursive query joins neighbouring
-tokens with the merge table and contracts each piece's leftmost pair of least rank, until no
-piece has a pair left. Decoding is an ordered aggregation of the tokens' bytes. Results of a
-bounded number of recent pieces are remembered by the worker; of the decoded bytes only those
-that differ from their piece are.
+tokens with the merge table and contracts each piece's leftmost pairs of least rank, until no
+piece has a pair left; pieces of all lengths go the same way. The ids of a bounded number of
+recent pieces are remembered by the worker. Decoding is an ordered aggregation of the tokens'
+bytes over each document's ids.
 
 Ids equal those of the tiktoken library without special tokens: a piece that is a token itself
 is that token.
 
 Defined results: a null or empty text has no token (its digests are those of empty strings);
-equal texts have equal results; a null id is carried through. One map, no shuffle.
+equal texts have equal results, so repeated rows do; a null id is carried through; a very long text is one row of one task,
+and a very long piece takes rounds by its ranks, in bounded memory beyond which the worker's temporary folder is used; other
+columns of the input, whatever their names, are not read; an empty table gives an empty table. One map, no shuffle.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_rows
-
-#: A row is a token with its piece w, position, next token's position and id, and the rank m of the pair they form
-#: (the merged token's id). Each round contracts one pair in every piece that has one; the rows of the last round stay.
-STEP = """
-WITH RECURSIVE t(step, w, pos, npos, id, nid, m) AS (
-  SELECT 0, w, pos, npos, id, nid, merges.m FROM start LEFT JOIN merges ON l = id AND r = nid
+from .common import slices, text_rows
+
+#: Rounds of one query; a piece that has pairs left after them goes on in the next query from its last rows.
+ROUNDS = 64
+#: A row is a token: k names its piece (upper half) and position, nk its next token's, id and nid the two ids, m the rank of the
+#: pair they form (the merged token's id). A round contracts, in every piece that has a pair, all places of its least rank
+#: that don't share a token, from the left, so rounds grow with the number of ranks, not with the length. That is the same
+#: as one leftmost place after another unless a pair that arises meanwhile has a lower rank: in such a piece (odd) the round
+#: contracts the leftmost place only (early: the merges of a lower rank than one of their parts). The rows of a piece's last round are its tokens.
+STEP = f"""
+CREATE OR REPLACE TABLE last AS
+WITH RECURSIVE t(step, k, nk, id, nid, m) AS (
+  SELECT 0, k, nk, id, nid, merges.m FROM start LEFT JOIN merges ON l = id AND r = nid
   UNION ALL
-  SELECT step, w, pos, npos, id, nid, merges.m
-  FROM (SELECT t.step + 1 AS step, t.w, t.pos,
-               CASE WHEN t.pos = b.pos THEN b.npos2 ELSE t.npos END AS npos,
-               CASE WHEN t.pos = b.pos THEN b.m ELSE t.id END AS id,
-               CASE WHEN t.pos = b.pos THEN b.nid2 WHEN t.npos = b.pos THEN b.m ELSE t.nid END AS nid
-        FROM t JOIN (SELECT best.*, n.npos AS npos2, n.nid AS nid2
-                     FROM (SELECT w, (min(key) & 4294967295)::INT AS pos, (min(key) >> 32)::INT AS m, arg_min(npos, key) AS npos
-                           FROM (SELECT w, npos, m::BIGINT * 4294967296 + pos AS key FROM t WHERE m IS NOT NULL) GROUP BY w) best
-                     JOIN t n ON n.w = best.w AND n.pos = best.npos) b ON b.w = t.w
-        WHERE t.pos <> b.npos)
-  LEFT JOIN merges ON l = id AND r = nid),
-last AS (SELECT w, max(step) AS step FROM t GROUP BY w),
-done AS (SELECT w, pos, id FROM t JOIN last USING (w, step) UNION ALL SELECT w, 0, id FROM whole)
-SELECT w, string_agg(id, ',' ORDER BY pos) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
-FROM done JOIN vocab USING (id) GROUP BY w
+  (WITH least AS MATERIALIZED (SELECT k >> 32 AS w, min(m) AS low FROM t WHERE m IS NOT NULL AND step < {ROUNDS} GROUP BY 1),
+   hit AS (SELECT k, nk, low FROM t JOIN least ON w = k >> 32 AND m = low),
+   chain AS (SELECT *, sum(fresh) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(nk) OVER (ORDER BY k) = k THEN 0 ELSE 1 END AS fresh FROM hit)),
+   pick AS MATERIALIZED (SELECT k, nk, low FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) AS j FROM chain) WHERE j % 2 = 1),
+   pair AS MATERIALIZED (SELECT pick.*, n.nk AS nk2, n.nid AS nid2, p.id AS pid, q.k IS NOT NULL AS beside
+                         FROM pick JOIN t n ON n.k = pick.nk LEFT JOIN t p ON p.nk = pick.k LEFT JOIN pick q ON q.k = n.nk),
+   odd AS (SELECT f.w, min(first) AS first FROM pair JOIN (SELECT k >> 32 AS w, min(k) AS first FROM pair GROUP BY 1) f ON f.w = pair.k >> 32
+           LEFT JOIN early a ON a.l = low AND a.r = nid2 LEFT JOIN early b ON b.l = pid AND b.r = low LEFT JOIN early c ON c.l = low AND c.r = low
+           WHERE a.m < low OR b.m < low OR beside AND c.m < low GROUP BY 1),
+   used AS MATERIALIZED (SELECT pair.* FROM pair LEFT JOIN odd ON odd.w = k >> 32 WHERE odd.w IS NULL OR k = first),
+   kept AS (SELECT t.step + 1 AS step, t.k, coalesce(u.nk2, t.nk) AS nk, coalesce(u.low, t.id) AS id, CASE WHEN u.k IS NULL THEN t.nid ELSE u.nid2 END AS nid
+            FROM t JOIN least ON w = t.k >> 32 LEFT JOIN used u ON u.k = t.k WHERE t.k NOT IN (SELECT nk FROM used)),
+   new AS (SELECT step, kept.k, kept.nk, kept.id, coalesce(x.low, nid) AS nid FROM kept LEFT JOIN used x ON x.k = kept.nk)
+   SELECT step, k, nk, id, nid, merges.m FROM new LEFT JOIN merges ON l = id AND r = nid))
+SELECT w, k, nk, id, nid, m FROM (SELECT k >> 32 AS w, * FROM t) JOIN (SELECT k >> 32 AS w, max(step) AS step FROM t GROUP BY 1) USING (w, step)
 """
+OPEN = "SELECT DISTINCT w FROM last WHERE m IS NOT NULL"
+DONE = f"SELECT w, string_agg(id, ',' ORDER BY k) AS ids FROM last WHERE w NOT IN ({OPEN}) GROUP BY w"
+REST = f"CREATE OR REPLACE TABLE start AS SELECT k, nk, id, nid FROM last WHERE w IN ({OPEN})"
 
-
-#: The same for one long piece. A round contracts all places of the least rank that don't share a token, from the left, so
-#: rounds grow with the number of ranks, not with the length. That is the same as one place after another unless a pair
-#: that arises meanwhile has a lower rank; then the round contracts the leftmost place only. Rows are kept by position.
-LONG = """
-WITH RECURSIVE t(pos, npos, id, nid, m, live) USING KEY (pos) AS (
-  SELECT pos, npos, id, nid, merges.m, true FROM start LEFT JOIN merges ON l = id AND r = nid
-  UNION
-  (WITH cur AS (SELECT * FROM recurring.t WHERE live),
-   hit AS (SELECT pos, npos, m AS low FROM cur WHERE m = (SELECT min(m) FROM cur)),
-   chain AS (SELECT *, sum(fresh) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g
-             FROM (SELECT *, CASE WHEN lag(npos) OVER (ORDER BY pos) = pos THEN 0 ELSE 1 END AS fresh FROM hit)),
-   pick AS (SELECT pos, npos, low FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY pos) AS j FROM chain) WHERE j % 2 = 1),
-   pair AS (SELECT pick.*, n.npos AS npos2, n.nid AS nid2, p.id AS pid, q.pos IS NOT NULL AS beside
-            FROM pick JOIN cur n ON n.pos = pick.npos LEFT JOIN cur p ON p.npos = pick.pos LEFT JOIN pick q ON q.pos = n.npos),
-   bad AS (SELECT count(*) AS n FROM pair WHERE EXISTS (SELECT 1 FROM merges WHERE l = low AND r = nid2 AND m < low) OR EXISTS (SELECT 1 FROM merges WHERE l = pid AND r = low AND m < low) OR beside AND EXISTS (SELECT 1 FROM merges WHERE l = low AND r = low AND m < low)),
-   used AS (SELECT * FROM pair WHERE (SELECT n FROM bad) = 0 OR pos = (SELECT min(pos) FROM pair)),
-   new AS (SELECT u.pos, u.npos2 AS npos, u.low AS id, CASE WHEN v.pos IS NULL THEN u.nid2 ELSE u.low END AS nid, true AS live FROM used u LEFT JOIN used v ON v.pos = u.npos2
-           UNION ALL SELECT c.pos, c.npos, c.id, c.nid, false FROM cur c JOIN used u ON u.npos = c.pos
-           UNION ALL SELECT c.pos, c.npos, c.id, u.low, true FROM cur c JOIN used u ON u.pos = c.npos WHERE c.pos NOT IN (SELECT npos FROM used))
-   SELECT pos, npos, id, nid, CASE WHEN live THEN merges.m END, live FROM new LEFT JOIN merges ON l = id AND r = nid))
-SELECT string_agg(id, ',' ORDER BY pos) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
-FROM t JOIN vocab USING (id) WHERE live
-"""
+#: The bytes of each document's ids, one character of the first 256 for a byte.
+DECODE = "SELECT d, string_agg(chars, '' ORDER BY pos) AS chars FROM given JOIN vocab USING (id) GROUP BY d"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -80,12 +70,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-#: Pieces of more bytes than this are encoded one by one.
-LONG_BYTES = 64
-
-
 class PieceCoder:
-    """Encodes and decodes distinct pieces; remembers at most about `keep` of them, those met lately."""
+    """Encodes distinct pieces and decodes documents' ids; remembers the ids of at most about `keep` pieces, those met lately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 700_000, chunk: int = 20_000, memory: str = "300MB"):
         import duckdb
@@ -95,12 +81,14 @@ class PieceCoder:
         self.findall = regex.compile(pattern).findall
         self.known: dict[str, str] = {}  # piece to ids
         self.older: dict[str, str] = {}
-        self.odd: dict[str, bytes] = {}  # pieces whose decoded bytes are not their own: none with a right vocabulary
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory})
+        # what does not fit in memory goes to the worker's own temporary folder, never to its current one
+        self.spill = tempfile.TemporaryDirectory(prefix="spanlake-bpe-")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": self.spill.name})
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._put("merges", {k: np.array([m[j] for m in merges], np.int32) for j, k in enumerate("lrm")})
-        self._put("vocab", {"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "hex": [t.hex() for t in ranks]})
+        self.db.execute("CREATE TABLE early AS SELECT * FROM merges WHERE m < greatest(l, r)")
+        self._put("vocab", {"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "chars": [t.decode("latin-1") for t in ranks]})
 
     def _put(self, name: str, columns: dict) -> None:
         self.db.register("arrow_in", pa.table(columns))
@@ -109,61 +97,59 @@ class PieceCoder:
 
     def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), self.chunk):
-            raw = [p.encode() for p in new[at : at + self.chunk]]
-            for piece, b in zip(new[at : at + self.chunk], raw):
-                if len(b) > LONG_BYTES and b not in self.ranks:
-                    self._put("start", self._rows([(0, b)]))
-                    self._keep(piece, *self.db.execute(LONG).fetchall()[0])
-            whole = [i for i, b in enumerate(raw) if b in self.ranks]
-            self._put("whole", {"w": np.array(whole, np.int32), "id": np.array([self.ranks[raw[i]] for i in whole], np.int32)})
-            self._put("start", self._rows([(i, b) for i, b in enumerate(raw) if b not in self.ranks and len(b) <= LONG_BYTES]))
-            for w, own, decoded in self.db.execute(STEP).fetchall():
-                self._keep(new[at + w], own, decoded)
-
-    def _keep(self, piece: str, ids: str, decoded: bytes) -> None:
-        self.known[piece] = ids
-        if decoded != piece.encode():
-            self.odd[piece] = decoded
+            part = new[at : at + self.chunk]
+            raw = [p.encode() for p in part]
+            self.known.update((piece, str(self.ranks[b])) for piece, b in zip(part, raw) if b in self.ranks)
+            cut = [(i, b) for i, b in enumerate(raw) if b not in self.ranks]
+            self._put("start", self._rows(cut))
+            done = 0
+            while done < len(cut):
+                self.db.execute(STEP)
+                got = self.db.execute(DONE).fetchall()
+                self.known.update((part[w], ids) for w, ids in got)
+                done += len(got)
+                if done < len(cut):
+                    self.db.execute(REST)
 
     def _rows(self, cut: list[tuple[int, bytes]]) -> dict:
-        """Single bytes as rows (w, pos, npos, id, nid); the last of a piece has no next token."""
+        """Single bytes as rows (k, nk, id, nid); the last of a piece has no next token."""
         n = np.array([len(b) for _, b in cut], np.int64)
         ids = self.single[np.frombuffer(b"".join(b for _, b in cut), np.uint8)]
         ends = np.cumsum(n)
-        pos = np.arange(len(ids)) - np.repeat(ends - n, n)
+        k = (np.repeat(np.array([i for i, _ in cut], np.int64), n) << 32) + np.arange(len(ids)) - np.repeat(ends - n, n)
         last = np.zeros(len(ids), bool)
         last[ends - 1] = True
-        return {"w": np.repeat(np.array([i for i, _ in cut], np.int32), n), "pos": pos.astype(np.int32), "npos": (pos + 1).astype(np.int32), "id": ids, "nid": pa.array(np.append(ids[1:], ids[:1]), mask=last)}
+        return {"k": k, "nk": k + 1, "id": ids, "nid": pa.array(np.append(ids[1:], ids[:1]), mask=last)}
 
-    def pieces(self, texts: list[str]) -> list[list[str]]:
-        """Every text's pieces, all of them known afterwards."""
+    def encoded(self, texts: list[str]) -> list[str]:
+        """Every text's ids, joined by commas."""
         if 2 * len(self.known) > self.keep:
             self.older, self.known = self.known, {}
-        out = [self.findall(t) for t in texts]
-        new = []
-        for p in dict.fromkeys(p for ps in out for p in ps):
-            if p not in self.known:
-                if own := self.older.get(p):
-                    self.known[p] = own
-                else:
-                    new.append(p)
-        self._learn(new)
-        return out
-
-    def joined(self, own: list[str]) -> tuple[str, bytes]:
-        """The ids of known pieces, joined by commas, and the bytes that the ids decode to."""
-        decoded = b"".join(self.odd.get(p) or p.encode() for p in own) if self.odd else "".join(own).encode()
-        return ",".join(map(self.known.__getitem__, own)), decoded
+        pieces = [self.findall(t) for t in texts]
+        new = set().union(*pieces).difference(self.known)
+        met = new.intersection(self.older)
+        self.known.update((p, self.older[p]) for p in met)
+        self._learn(list(new - met))
+        return [",".join(map(self.known.__getitem__, ps)) for ps in pieces]
+
+    def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each document's ids, by one ordered aggregation."""
+        n = np.array([len(x) for x in ids], np.int64)
+        ends = np.cumsum(n)
+        self._put("given", {"d": np.repeat(np.arange(len(ids), dtype=np.int32), n), "pos": (np.arange(n.sum()) - np.repeat(ends - n, n)).astype(np.int32), "id": np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)})
+        got = dict(self.db.execute(DECODE).fetchall())
+        return [got.get(d, "").encode("latin-1") for d in range(len(ids))]
 
     def encode(self, text: str) -> list[int]:
-        (own,) = self.pieces([text])
-        return [int(i) for p in own for i in self.known[p].split(",")]
+        return numbers(self.encoded([text])[0]).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes of any ids, by the ordered aggregation."""
-        self._put("given", {"pos": np.arange(len(ids)), "id": np.array(ids, np.int32)})
-        ((got,),) = self.db.execute("SELECT string_agg(hex, '' ORDER BY pos) FROM given JOIN vocab USING (id)").fetchall()
-        return bytes.fromhex(got or "")
+        return self.decoded([np.array(ids, np.int32)])[0]
+
+
+def numbers(ids: str) -> np.ndarray:
+    """The ids of a string of decimals joined by commas."""
+    return np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
 
 
 _coders: dict[tuple, PieceCoder] = {}
@@ -192,14 +178,12 @@ def tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     def run(batches):
         coder = _worker_coder(ranks_path, pattern, shared)
         for whole in batches:
-            for at in range(0, whole.num_rows, 400):
-                b = whole.slice(at, 400)
-                rows = []
-                for own in coder.pieces([t or "" for t in b.column("text").to_pylist()]):
-                    ids, decoded = coder.joined(own)
-                    row = (ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                    rows.append((*row, [int(i) for i in ids.split(",")] if ids else []) if with_ids else row)
-                columns = list(zip(*rows)) if rows else [[] for _ in fields[1:]]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, f[1]) for c, f in zip(columns, fields[1:]))], schema=schema)
+            for b in slices(whole, "text"):
+                texts = coder.encoded([t or "" for t in b.column("text").to_pylist()])
+                ids = [numbers(t) for t in texts]
+                columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]), pa.array([hashlib.sha256(t).hexdigest() for t in coder.decoded(ids)])]
+                if with_ids:
+                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], schema=schema)
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, ddl)

@@ -6,8 +6,11 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,17 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have at most about `most` bytes; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have."""
     names = {c.lower() for c in df.columns}
