@@ -14,9 +14,11 @@ Candidates come from bands in three steps, none of which lists the pairs of a bu
 Every link is confirmed on the full sets of 64-bit shingle hashes.
 
 Defined results: a null or empty text, or one of white space, has no shingle and is linked with
-nothing (its component is its own id); documents with equal word sequences form one class whose
-smallest id stands for it, however many there are; rows that share an id are one node, linked by
-one of their texts; a row with a null id gets a null component and is kept; an empty table gives an empty table.
+nothing (its component is its own id); documents with equal word sequences form one class, compared once, however many there
+are; rows that share an id are one document: all of their texts' classes are linked; repeated rows get equal results; a row with
+a null id gets a null component and is kept; a very long text is one row of one task and is read whole; of equally good centres
+the smallest class number counts, which decides no link; other columns of the input, whatever their names, are not read (keep_one
+keeps them); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Workspace, fresh, mix64, text_rows
-from .components import connected_components
+from .components import connected_components, extended_components
 
 
 @dataclass(frozen=True)
@@ -113,8 +115,8 @@ def _class_key(words: list[bytes]) -> tuple[int, int]:
 
 
 def sketch(texts: DataFrame, p: NearDup) -> DataFrame:
-    """doc_id, k1, k2 (class of equal word sequences), n (shingles), keys (one per band). A map, one batch at a time."""
-    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, th (hash of the text), k1, k2 (class of equal word sequences), n (shingles), keys (one per band). A map, one batch at a time."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         known: dict[bytes, int] = {}
@@ -132,15 +134,15 @@ def sketch(texts: DataFrame, p: NearDup) -> DataFrame:
                     keys = band_keys(signatures([sets[k] for k in full], p), p).tolist()
                     done.update((k, (len(sets[k]), x)) for k, x in zip(full, keys))
                 got = [done[k] for k in ids]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([k[i] for k in ids], pa.int64()) for i in (0, 1)), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), *(pa.array([k[i] for k in ids], pa.int64()) for i in (0, 1)), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], schema=schema)
                 while len(done) > 20_000:
                     done.popitem(last=False)
 
-    return texts.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, keys array<long>")
+    return texts.mapInArrow(run, "doc_id long, th long, k1 long, k2 long, n long, keys array<long>")
 
 
 def _full_sets(texts: DataFrame, wanted: DataFrame, p: NearDup) -> DataFrame:
-    """rep, s (all shingle hashes, sorted) for the wanted (rep, k1, k2)."""
+    """rep, s (all shingle hashes, sorted) of the wanted classes (rep, doc_id, th, k1, k2): of one text of each."""
     schema = pa.schema([("rep", pa.int64()), ("s", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -149,15 +151,15 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, p: NearDup) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 ids, sets = [], []
-                for doc, text, k1, k2 in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "k1", "k2"))):
+                for rep, text, k1, k2 in zip(*(b.column(c).to_pylist() for c in ("rep", "text", "k1", "k2"))):
                     words = split_words(text)
                     if _class_key(words) == (k1, k2):
-                        ids.append(doc)
+                        ids.append(rep)
                         sets.append(shingle_hashes(words, p.words, known).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
-    own = wanted.select(F.col("rep").alias("doc_id"), "k1", "k2")
-    return texts.join(own, "doc_id").mapInArrow(run, "rep long, s array<long>").dropDuplicates(["rep"])
+    # by id and text, as an id may have many texts
+    return texts.join(wanted, ["doc_id", "th"]).select("rep", "text", "k1", "k2").mapInArrow(run, "rep long, s array<long>").dropDuplicates(["rep"])
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
@@ -172,7 +174,7 @@ def _pair(x: Column, y: Column) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def _prefix_pairs(sets: DataFrame, comp: DataFrame, p: NearDup) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, comp: DataFrame, p: NearDup, ws: Workspace | None = None) -> DataFrame:
     """Candidate pairs, exact: all pairs over the threshold between different components of comp are among them."""
     t = p.percent / 100
     size = F.size("s").alias("size")
@@ -181,9 +183,10 @@ def _prefix_pairs(sets: DataFrame, comp: DataFrame, p: NearDup) -> DataFrame:
     ranked = tokens.join(df, "token", "left").withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("df", F.lit(1)), "token")))
     # the smaller set of a pair shares a token within its first n - ceil(2t/(1+t) n) + 1, the larger within n - ceil(t n) + 1
     eps = 1e-9
-    shared = ranked.filter(F.col("df").isNotNull())
-    low = shared.filter(F.col("i") <= F.col("size") - F.ceil(2 * t / (1 + t) * F.col("size") - eps) + 1)
-    high = shared.filter(F.col("i") <= F.col("size") - F.ceil(t * F.col("size") - eps) + 1)
+    high = ranked.filter(F.col("df").isNotNull() & (F.col("i") <= F.col("size") - F.ceil(t * F.col("size") - eps) + 1)).drop("df")
+    if ws:
+        high = ws.write(high, "prefixes")  # both sides of the join read it
+    low = high.filter(F.col("i") <= F.col("size") - F.ceil(2 * t / (1 + t) * F.col("size") - eps) + 1)
     x = low.select("token", *(F.col(c).alias(f"x{c}") for c in ("rep", "c", "size", "i")))
     y = high.select("token", *(F.col(c).alias(f"y{c}") for c in ("rep", "c", "size", "i")))
     sx, sy = F.col("xsize"), F.col("ysize")
@@ -199,31 +202,41 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup(), *, id_col: str = "d
     spark = docs.sparkSession
     ws = Workspace(spark, "neardup")
     texts = text_rows(docs, id_col, text_col)
+    texts = texts.withColumn("th", F.xxhash64("text"))
     sk = ws.write(sketch(texts, p), "sketch")
     named = sk.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = ws.write(named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "keys")).alias("m")).select("k1", "k2", F.col("m.doc_id").alias("rep"), F.col("m.keys").alias("keys")), "classes")
-    exploded = classes.select("rep", F.explode("keys").alias("bucket"))
-    hashed = F.xxhash64("rep", "bucket")
+    # a class is numbered by its place in the written table; its smallest id and one text with it stand for it
+    one = named.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th", "keys")).alias("m")).select("k1", "k2", "m.*")
+    classes = ws.write(one.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    placed = ws.write(sk.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "rep", F.col("doc_id").alias("least")), ["k1", "k2"], "left").select("doc_id", "n", "rep", "least"), "placed")
+    exploded = classes.select("rep", "k1", F.explode("keys").alias("bucket"))
+    hashed = F.xxhash64("k1", "bucket")
     centre = exploded.groupBy("bucket").agg(F.min(F.struct(hashed.alias("h"), F.col("rep").alias("rep"))).alias("m"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1).select("bucket", F.col("m.rep").alias("centre"))
-    members, seen = ws.write(exploded.join(centre, "bucket"), "members", n=F.count(F.lit(1)))
-    comp = None
-    if seen["n"]:
-        comp = _link_members(ws, texts, classes, members, p)
-    out = sk.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left")
+    members, seen = ws.write(exploded.join(centre, "bucket").select("bucket", "rep", "centre"), "members", n=F.count(F.lit(1)))
+    comp = _link_members(ws, texts, classes, members, p) if seen["n"] else None
+    # the classes of an id with several texts are linked, and its rows without words go with them
+    several = placed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("rep").alias("full"), F.count(F.lit(1)).alias("all"))
+    several, found = ws.write(several.filter("full > 0 AND (lo < hi OR full < all)"), "several", n=F.count(F.lit(1)))
+    if found["n"]:
+        shared, links = ws.write(placed.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("lo").alias("b")).filter("a <> b").distinct(), "shared", n=F.count(F.lit(1)))
+        comp = extended_components(ws, comp, shared) if links["n"] else comp
+    own = F.col("least")
     if comp is not None:
-        out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        own = F.coalesce("component", "rep")
-    else:
-        own = F.col("rep")
+        comp = ws.write(comp, "classes-components")
+        low = comp.join(classes.select(F.col("rep").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("lowest"))
+        placed = placed.join(comp.join(low, "component").select(F.col("node").alias("rep"), "lowest"), "rep", "left")
+        own = F.coalesce("lowest", "least")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, own), F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = placed.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    if found["n"]:
+        ids = several.join(placed.filter("rep IS NOT NULL").select(F.col("rep").alias("lo"), own.alias("c")).dropDuplicates(["lo"]), "lo").select("doc_id", "c")
+        out = out.join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _link_members(ws: Workspace, texts: DataFrame, classes: DataFrame, members: DataFrame, p: NearDup) -> DataFrame | None:
     one = members.filter(F.col("rep") != F.col("centre")).select(*_pair(F.col("rep"), F.col("centre"))).distinct()
-    # an id with several texts takes part with the one of the smallest class key
-    named = classes.groupBy("rep").agg(F.min(F.struct("k1", "k2")).alias("k")).select("rep", "k.k1", "k.k2")
-    wanted = members.select("rep").distinct().join(named, "rep")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "doc_id", "th", "k1", "k2"), "rep")
     sets = ws.write(_full_sets(texts, wanted, p), "sets")
     edges, found = ws.write(_linked(one, sets, p), "links", n=F.count(F.lit(1)))
     degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
@@ -243,18 +256,17 @@ def _link_members(ws: Workspace, texts: DataFrame, classes: DataFrame, members:
     if left["n"]:
         more, new = ws.write(_linked(two, sets, p), "links", n=F.count(F.lit(1)))
         if new["n"]:
-            edges = edges.unionByName(more)
-            comp = connected_components(ws, edges)
+            comp = extended_components(ws, comp, more)
     # what is still split is joined exactly
     own = labelled(comp)
     split = own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("bucket")
     rest, left = ws.write(own.join(split, "bucket").select("rep", "c").distinct(), "rest", n=F.count(F.lit(1)))
     if left["n"]:
-        three, left = ws.write(_prefix_pairs(sets, rest, p), "pairs", n=F.count(F.lit(1)))
+        three, left = ws.write(_prefix_pairs(sets, rest, p, ws), "pairs", n=F.count(F.lit(1)))
         if left["n"]:
             more, new = ws.write(_linked(three, sets, p), "links", n=F.count(F.lit(1)))
             if new["n"]:
-                comp = connected_components(ws, edges.unionByName(more))
+                comp = extended_components(ws, comp, more)
     return comp
 
 

@@ -86,6 +86,28 @@ def test_near_duplicates_edges(spark):
     assert kept.columns == df.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 1, 4, 5]
 
 
+def test_all_texts_of_a_repeated_id_are_linked(spark):
+    """The links of every text of an id count, whichever of them its class stands for; rows without words go with the id."""
+    rng = random.Random(4)
+    a, b, c = (rng.choices([f"w{i}" for i in range(500)], k=60) for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (0, near(c)), (4, ""), (4, None), (5, "alone"), (5, "alone"), (6, "")]
+    df = spark.createDataFrame([(d, t, "x", 1, "y") for d, t in rows], DOCS).repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    want = {1: 1, 2: 1, 3: 1, 4: 0, 0: 0, 5: 5, 6: 6}
+    assert got == sorted((d, want[d], d == want[d]) for d, _ in rows)
+
+
+def test_components_go_on_from_known_ones(spark):
+    rng = random.Random(5)
+    first, more = ([(rng.randrange(80), rng.randrange(80)) for _ in range(n)] for n in (30, 25))
+    df = lambda e: spark.createDataFrame(e, "a long, b long")
+    ws = Workspace(spark, "t")
+    got = components.extended_components(ws, components.connected_components(ws, df(first)), df(more))
+    edges = [e for e in first + more if e[0] != e[1]]
+    assert {r.node: r.component for r in got.collect()} == closure({n for e in edges for n in e}, edges)
+
+
 def test_prefix_join_alone_is_exact(spark):
     rng = random.Random(9)
     vocab = [f"w{i}" for i in range(40)]
