@@ -1,20 +1,27 @@
 """PII: format-preserving Feistel pseudonyms, in Spark SQL expressions only.
 
 Personal values are found by one pattern, validated, and permuted by a keyed Feistel network
-within their own format: letters and digits of e-mail addresses, digits of phone numbers,
-Luhn-valid card numbers (the check digit is made anew), calendar dates from 1900 to 2100, IPv4
-addresses, social security numbers of valid ranges, access keys and assigned secrets. The
-permutation depends on the key, the kind and the format only, so equal values get equal
-pseudonyms in all documents, and different values different ones.
+within their own format: letters and digits of e-mail addresses, digits of phone numbers
+(international, North American, and national ones of the forms 0ab 1234567 and 01 23 45 67 89),
+Luhn-valid card numbers and IBANs (their check digits are made anew), calendar dates from 1900 to
+2100, IPv4 addresses, social security numbers of valid ranges, access keys and assigned secrets.
+
+What is permuted is the value without its writing: an address in lower case, a phone's national digits
+without country code or leading 0, a card's, an IBAN's or a date's characters alone. The pseudonym is then
+written in the form that was found. The permutation depends on the key, the kind and the number of
+characters only, so equal values get equal pseudonyms in all documents however they are written, and
+different values different ones.
 
 The text is cut at the matches; a match's pseudonym is an expression over it; the parts are
 joined again. Texts without a digit, an @ or a secret's name skip all of this. No shuffle.
 
 Defined results: a null text stays null with no value, an empty one empty; of a run of digit groups that fails the
 Luhn test the first, then longest, run of whole groups inside that passes is the card; candidates that fail
-their validation (a wrong check digit, 31 February, an octet over 255) stay as they are and
-don't count; equal texts get equal results; a null id is carried through. A value may be its
-own pseudonym by chance, once in the number of values of its format.
+their validation (a wrong check digit, 31 February, an octet over 255, four numbers after the word
+version) stay as they are and don't count; equal texts get equal results, so repeated rows do; a null id is
+carried through; a very long text is one row of one task, its parts are joined once; other columns of the
+input, whatever their names, are not read; an empty table gives an empty table. A value may be its own
+pseudonym by chance, once in the number of values of its format.
 """
 
 from __future__ import annotations
@@ -29,11 +36,15 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]
 SECRET = r"""(?i:(?<![A-Za-z])(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key))\s?[=:]\s?["']?[A-Za-z0-9+/_.~-]{6,}"""
 ACCESS = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-])"
-IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
+IP = r"(?<![\d.])(?<!\b(?i:v|ver|version|versión|release|build|firmware)[ .:=-]{0,2})\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d-])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?![\d-])"
+NATIONAL = r"(?<![\d.,/+-])(?:0[1-9](?:[ .]\d{2}){4}|0[1-9]\d{1,3}[ /-](?=(?:\d ?){6,8}(?!\d))\d{3,8}(?: \d{2,5})?)(?![\d-]|[.,]\d)"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Country codes of one and of two digits; all others have three.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)"
-PATTERN = "|".join((EMAIL, SECRET, ACCESS, DATE, IP, SSN, PHONE, CARD))
+PATTERN = "|".join((EMAIL, SECRET, ACCESS, IBAN, DATE, IP, SSN, PHONE, NATIONAL, CARD))
 MAYBE = r"[0-9@]|(?i:token|passw|pwd|secret|api.?key|access.?key)"
 
 
@@ -100,11 +111,14 @@ def pseudonym(m: str, key: str) -> str:
     """SQL: struct(kind, value) of a match m; kind is null where the match is not valid."""
     out = lambda kind, value: f"named_struct('kind', {_q(kind)}, 'value', {value})"
     none = f"named_struct('kind', cast(null as string), 'value', {m})"
-    email = f"concat({permuted_chars(f'regexp_extract({m}, {_q(r"^(.*)\.[A-Za-z]+$")}, 1)', key, 'email')}, regexp_extract({m}, {_q(r'(\.[A-Za-z]+)$')}, 1))"
+    # permuted in lower case, then capitals where there were some
+    local = f"regexp_extract({m}, {_q(r'^(.*)[.][A-Za-z]+$')}, 1)"
+    cased = f"array_join(transform(split({local}, ''), (c, i) -> IF(c BETWEEN 'A' AND 'Z', upper(substring(em, i + 1, 1)), substring(em, i + 1, 1))), '')"
+    email = f"concat({_let('em', permuted_chars(f'lower({local})', key, 'email'), cased)}, regexp_extract({m}, {_q(r'([.][A-Za-z]+)$')}, 1))"
     head = rf"^((?i:[a-z_-]+)\s?[=:]\s?[\"']?)(.*)$"
     secret = f"concat(regexp_extract({m}, {_q(head)}, 1), {permuted_chars(f'regexp_extract({m}, {_q(head)}, 2)', key, 'secret')})"
     access = f"concat('AKIA', {permuted_chars(f'substring({m}, 5)', key, 'access')})"
-    cc = rf"^(\+\d{{1,3}}(?=[ .(-]))?(.*)$"
+    cc = rf"^((?:\+(?:{COUNTRY}|\d{{3}})|0)?)(.*)$"
     phone = f"concat(regexp_extract({m}, {_q(cc)}, 1), {permuted_chars(f'regexp_extract({m}, {_q(cc)}, 2)', key, 'phone')})"
     card = _let("bd", permuted_chars("substring(cm, 1, length(cm) - 1)", key, "card"), f"concat(bd, cast((10 - {luhn_sum(_digits('bd'), False)} % 10) % 10 as string))")
     # the whole run comes first, as the earliest start with the most digits
@@ -115,6 +129,12 @@ def pseudonym(m: str, key: str) -> str:
     runs = f"flatten(transform({starts}, s -> transform(filter({ends}, e -> {passes}), e -> named_struct('a', s.at, 'b', e.at))))"
     put = f"concat(substring({m}, 1, rn.a - 1), {_let('cm', f'substring({m}, rn.a, rn.b - rn.a)', card)}, substring({m}, rn.b))"
     cards = _let("rn", f"get({runs}, 0)", f"IF(rn IS NULL, {none}, {out('card', put)})")
+    # the country and 00 go behind the account; letters count 10 to 35
+    mod97 = lambda x: f"aggregate(split({x}, ''), 0, (t, c) -> IF(c BETWEEN '0' AND '9', (t * 10 + cast(c as int)) % 97, (t * 100 + ascii(c) - 55) % 97))"
+    bare = f"replace({m}, ' ', '')"
+    iban_ok = mod97(f"concat(substring({bare}, 5), substring({bare}, 1, 4))") + " = 1"
+    check = mod97(f"concat(replace(ib, ' ', ''), substring({m}, 1, 2), '00')")
+    iban = _let("ib", permuted_chars(f"substring({m}, 5)", key, "iban"), f"concat(substring({m}, 1, 2), lpad(cast(98 - {check} as string), 2, '0'), ib)")
     octet = lambda k: f"cast(split({m}, '[.]')[{k}] as bigint)"
     ip_pair = permuted_pair(f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", 65536, 65536, key, "ip")
     ip = _let("pr", ip_pair, "concat_ws('.', cast(pr.a div 256 as string), cast(pr.a % 256 as string), cast(pr.b div 256 as string), cast(pr.b % 256 as string))")
@@ -126,13 +146,14 @@ def pseudonym(m: str, key: str) -> str:
     ssn = _let("pr", ssn_pair, "concat_ws('-', lpad(cast((pr.a div 99) + 1 + IF((pr.a div 99) + 1 >= 666, 1, 0) as string), 3, '0'), lpad(cast(pr.a % 99 + 1 as string), 2, '0'), lpad(cast(pr.b + 1 as string), 4, '0'))")
     return (
         f"CASE WHEN {m} LIKE '%@%' THEN {out('email', email)} WHEN {m} RLIKE '^AKIA[0-9A-Z]{{16}}$' THEN {out('access', access)} "
+        f"WHEN {m} RLIKE '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9 ]+$' AND {m} NOT LIKE '%=%' THEN IF({iban_ok}, {out('iban', iban)}, {none}) "
         f"WHEN {m} RLIKE '^[A-Za-z]' THEN {out('secret', secret)} "
         f"WHEN {m} RLIKE {_q(r'^\d{4}-\d{2}-\d{2}$')} THEN {_date(m, 'yyyy-MM-dd', key)} "
         f"WHEN {m} RLIKE {_q(r'^\d{2}\.\d{2}\.\d{4}$')} THEN {_date(m, 'dd.MM.yyyy', key)} "
         f"WHEN {m} RLIKE {_q(r'^\d{2}/\d{2}/\d{4}$')} THEN coalesce(IF(substring({m}, 1, 2) <= '12', {_date(m, 'MM/dd/yyyy', key)}, null), {_date(m, 'dd/MM/yyyy', key)}) "
         f"WHEN {m} RLIKE {_q(r'^\d{1,3}(\.\d{1,3}){3}$')} THEN IF({ip_ok}, {out('ip', ip)}, {none}) "
         f"WHEN {m} RLIKE {_q(r'^\d{3}-\d{2}-\d{4}$')} THEN IF({ssn_ok}, {out('ssn', ssn)}, {none}) "
-        f"WHEN {m} RLIKE {_q(r'^([+(]|\d{3}-\d{3}-\d{4}$)')} THEN {out('phone', phone)} "
+        f"WHEN {m} RLIKE {_q(r'^([+(]|\d{3}-\d{3}-\d{4}$)')} OR {m} RLIKE {_q('^(?:' + NATIONAL + ')$')} THEN {out('phone', phone)} "
         f"WHEN {luhn_sum(_digits(m), True)} % 10 = 0 THEN {out('card', _let('cm', m, card))} ELSE {cards} END"
     )
 
