@@ -2,14 +2,18 @@
 then a document that lost too much of its text is rejected.
 
 Defined results: a null text counts as empty; an empty text has no words, fails the base rules and
-is not kept; lines without a word are neither judged nor counted; repeated rows are judged each by
-itself, so equal texts get equal results; a null id is carried through.
+is not kept; lines without a word are neither judged nor counted; a line that breaks several rules
+counts for the first of them; a share equal to its bound passes, but that of separators; repeated rows
+are judged each by itself, so equal texts get equal results; a null id is carried through; a very long
+text is one row of one task and is read whole; other columns of the input, whatever their names, are
+not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,13 @@ SPACES = " \t\n\r\x0b\x0c"
 #: Endings that a line of prose may have, and single words that separate the items of a menu.
 ENDINGS = (".", "!", "?", "…", '"', "'", ")", "»", "”", ":", ";")
 SEPARATORS = ("|", ">", "»", "·", "•", "/")
-BOILERPLATE = ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "subscribe to our", "sign up for", "log in to", "enable javascript", "skip to content", "share this", "follow us on", "powered by", "back to top", "click here")
-BOILERPLATE_RE = "|".join(BOILERPLATE)
+#: Phrases of lines that belong to a site, not to a text, by language.
+BOILERPLATE = {
+    "en": ("cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "subscribe to our", "sign up for", "log in to", "enable javascript", "skip to content", "share this", "follow us on", "powered by", "back to top", "click here"),
+    "de": ("cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "newsletter abonnieren", "jetzt anmelden", "javascript aktivieren", "zum inhalt springen", "beitrag teilen", "folgen sie uns", "bereitgestellt von", "nach oben scrollen", "klicken sie hier"),
+    "fr": ("politique de cookies", "politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "abonnez-vous à", "inscrivez-vous", "activer javascript", "aller au contenu", "partager cet article", "suivez-nous sur", "propulsé par", "haut de page", "cliquez ici"),
+    "es": ("política de cookies", "política de privacidad", "términos de uso", "condiciones de uso", "todos los derechos reservados", "suscríbete a", "inicia sesión", "activar javascript", "saltar al contenido", "compartir este artículo", "síguenos en", "funciona con", "volver arriba", "haz clic aquí"),
+}
 
 
 @dataclass(frozen=True)
@@ -36,9 +45,13 @@ class LineRules:
     max_lost: int = 50
     min_words: int = 50
     max_repeated: int = 50
+    #: Phrases of all languages by default, as a line's language is not known.
+    boilerplate: tuple[str, ...] = tuple(x for phrases in BOILERPLATE.values() for x in phrases)
 
 
-_boilerplate = re.compile(BOILERPLATE_RE, re.ASCII | re.IGNORECASE)
+@lru_cache
+def _boilerplate(phrases: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(map(re.escape, phrases)) or "(?!)", re.IGNORECASE)
 
 
 def line_fails(line: str, words: list[bytes], rules: LineRules) -> str:
@@ -50,7 +63,7 @@ def line_fails(line: str, words: list[bytes], rules: LineRules) -> str:
         return "punctuation"
     if 100 * sum(words.count(s) for s in _SEPARATORS) >= rules.min_separators * n:
         return "navigation"
-    return "boilerplate" if _boilerplate.search(line) else ""
+    return "boilerplate" if _boilerplate(rules.boilerplate).search(line) else ""
 
 
 _SEPARATORS = tuple(s.encode() for s in SEPARATORS)
@@ -131,7 +144,7 @@ l3 AS (SELECT k, n, row_number() OVER (PARTITION BY k, line ORDER BY pos) > 1 AS
        100 * sym > 30 * n OR 100 * bang > 30 * n
        OR right(words[-1], 1) NOT IN ({", ".join("'" + e.replace("'", "''") + "'" for e in ENDINGS)})
        OR 100 * len(list_filter(words, lambda x: x IN ({", ".join(f"'{s}'" for s in SEPARATORS)}))) >= 25 * n
-       OR regexp_matches(line, '(?i){BOILERPLATE_RE}') AS bad FROM l2),
+       OR regexp_matches(line, '(?i){"|".join(LineRules().boilerplate).replace("'", "''")}') AS bad FROM l2),
 ls AS (SELECT k, count(*) FILTER (dup) AS n_dup, coalesce(sum(n) FILTER (bad), 0) AS lost FROM l3 GROUP BY k),
 g AS (SELECT k, u.i, words[u.i] || ' ' || words[u.i + 1] || ' ' || words[u.i + 2] AS gram
       FROM w, unnest(range(1, len(words) - 1)) AS u(i)),
