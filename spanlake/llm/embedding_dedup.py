@@ -13,7 +13,8 @@ wanted probability `miss` of not meeting at exactly the threshold angle.
 Defined results: a null or zero vector and one with null or non-finite components link with
 nothing; vectors link with vectors of their own length only; a null id takes part in no link
 and gets a null component; rows with equal id and vector count once each as links of others
-but an id is one node; an empty table gives an empty table.
+but an id is one node; a cosine equal to the threshold links; other columns of the input, whatever
+their names, are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ class SignTables:
 
     cosine: float = 0.9
     miss: float = 1e-4
-    bucket: int = 512
-    block: int = 1024
+    bucket: int = 2048
+    block: int = 4096
     seed: int = 11
 
     def sizes(self, n: int) -> tuple[int, int]:
