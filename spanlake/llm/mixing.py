@@ -7,8 +7,8 @@ gives the same copies again. The copies are then shuffled globally by a hash key
 
 Defined results: a null source is a source of its own; a source without a weight gets weight 0
 and loses its rows; rows equal in id draw the same number unless they differ in text (their
-text is hashed too); a null id or text is hashed as a mark of its own; an empty table gives an
-empty table; the input's columns come back unchanged, helper columns never clash with them.
+text is hashed too); a null id or text is hashed as a mark of its own; a very long text is hashed
+whole and carried as it is; an empty table gives an empty table; the input's columns come back unchanged, helper columns never clash with them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, unit_hash
+from .common import Workspace, fresh, unit_hash
 
 
 def poisson_cdf(rate: Column, max_rate: float) -> Column:
@@ -38,8 +38,9 @@ def poisson_inverse(u: Column, cdf: Column) -> Column:
     return F.size(F.filter(cdf, lambda c: c <= u))
 
 
-#: Rates of at most so many sources (tens of bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_SOURCES = 50_000
+#: The tables of at most so many sources (about 800 bytes each, 4 MB in all) are broadcast; those of more sources are joined by a
+#: shuffle, in which adaptive execution deals the rows of a large source to several tasks.
+BROADCAST_SOURCES = 5_000
 #: Above this mean a rate is split into equal parts whose independent draws are added.
 PART_RATE = 16.0
 
@@ -55,13 +56,12 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     names = {k: fresh(docs, f"__mix_{k}") for k in ("source", "n", "rate", "parts", "cdf", "copies", "copy", "key", "text")}
     src = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-"))
     own = docs.withColumn(names["source"], src)
-    counts = own.groupBy(names["source"]).agg(F.count(F.lit(1)).alias(names["n"]))
-    if weights is None:
-        target = F.lit(1.0)
-    else:
-        target = F.lit(0.0)
-        for k, w in weights.items():
-            target = F.when(F.col(names["source"]) == F.lit("-" if k is None else f"={k}"), F.lit(float(w))).otherwise(target)
+    counts = Workspace(docs.sparkSession, "mixing").write(own.groupBy(names["source"]).agg(F.count(F.lit(1)).alias(names["n"])), "counts")
+    target = F.lit(1.0)
+    if weights is not None:
+        given = docs.sparkSession.createDataFrame([("-" if k is None else f"={k}", float(w)) for k, w in weights.items()], f"{names['source']} string, {names['rate']} double")
+        counts = counts.join(given, names["source"], "left")
+        target = F.coalesce(F.col(names["rate"]), F.lit(0.0))
     n_sources, total, weight_sum = counts.agg(F.count(F.lit(1)), F.sum(names["n"]), F.sum(target)).first()
     rates = counts.select(names["source"], (target / F.lit(float(weight_sum or 1)) * F.lit(float((total or 0) * epochs)) / F.col(names["n"])).alias(names["rate"]))
     # one table of the distribution per source, looked up by every row; a rate over PART_RATE is the sum of equal parts' draws
