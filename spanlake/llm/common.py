@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,12 @@ class Workspace:
     needed. ``drop`` frees a table that later steps no longer read; the rest goes at exit.
     """
 
+    #: All workspaces of this process whose tables may still be read.
+    made: ClassVar[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        Workspace.made.append(self)
         self.root = f"{shared_dir(spark)}/spanlake/{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self._remove, self.root)
 
@@ -62,6 +67,11 @@ class Workspace:
         back._spanlake_path = path
         return (back, observed.get) if observed else back
 
+    def clear(self) -> None:
+        """Removes all tables, when no later step reads any."""
+        self._remove(self.root)
+        Workspace.made.remove(self)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self._remove(t._spanlake_path)

@@ -8,8 +8,10 @@ bins' table entries, so scoring is vectorised bin lookup and addition.
 
 Defined results: a null text counts as empty; an empty text has all features 0 and still gets a
 score; equal texts get equal scores; rows without a usable label (null, or an id with
-contradicting labels) don't train; an empty training set gives score 0.5 everywhere; labels,
-lang, source and the id are never features.
+contradicting labels) don't train; an empty training set gives score 0.5 everywhere; of splits with equal gain the last cut counts,
+of equal pairs the first; a null id is carried through; repeated rows get equal scores; a very long text is one row of one task and is
+read whole; labels, lang, source and the id are never features, other columns of the input are not read; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations

@@ -100,6 +100,27 @@ def test_quality_held_out(spark, docs):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in held)
 
 
+def test_quality_scores_match_plain_tables(spark, docs, weird):
+    """Every score is the logistic function of the sum of its bins' entries, looked up one by one."""
+    model = quality_gam.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    some = docs.select("doc_id", "text").unionByName(weird.select("doc_id", "text"))
+    texts = {}
+    for r in some.collect():
+        texts.setdefault(r.doc_id, set()).add(r.text)
+
+    def plain(text):
+        x = quality_gam.features(text or "")
+        bin_of = lambda edges, v: sum(e <= v for e in edges)
+        total = model.bias + sum(t[bin_of(e, v)] for e, t, v in zip(model.edges, model.tables, x))
+        total += sum(t[bin_of(model.pair_edges[i], x[i])][bin_of(model.pair_edges[j], x[j])] for i, j, t in model.pairs)
+        return 1 / (1 + np.exp(-total))
+
+    got = quality_gam.score(some, model).collect()
+    assert len(got) == some.count()
+    for r in got:
+        assert min(abs(r.score - plain(t)) for t in texts[r.doc_id]) < 1e-9 and r.predicted == (r.score >= 0.5)
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
@@ -144,6 +165,20 @@ def test_rules_lines(spark):
     assert not quality_rules.judge("\n".join(f"{good[:-1]}{i}" for i in range(3)), quality_rules.LineRules())[6]
 
 
+@pytest.mark.parametrize("lang", sorted(quality_rules.BOILERPLATE))
+def test_rules_of_each_language(lang):
+    """Every phrase of every language breaks its line, in any case; a line of prose breaks none."""
+    for phrase in quality_rules.BOILERPLATE[lang]:
+        for line in (f"Abc {phrase} xyz.", f"Abc {phrase.upper()} xyz."):
+            assert quality_rules.line_fails(line, line.encode().split(), quality_rules.LineRules()) == "boilerplate", line
+    prose = {"en": "She read the book twice.", "de": "Sie las das Buch zweimal.", "fr": "Elle a lu le livre deux fois.", "es": "Ella leyó el libro dos veces."}[lang]
+    menu = {"en": "Home page | Latest news | About us.", "de": "Zur Startseite | Neue Beiträge | Zum Kontakt.", "fr": "La page > Les articles > Le contact.", "es": "Inicio · Noticias · Contacto."}[lang]
+    assert quality_rules.line_fails(prose, prose.encode().split(), quality_rules.LineRules()) == ""
+    assert quality_rules.line_fails(menu, menu.encode().split(), quality_rules.LineRules()) == "navigation"
+    own = quality_rules.LineRules(boilerplate=("zweimal",))
+    assert quality_rules.line_fails(prose, prose.encode().split(), own) == ("boilerplate" if lang == "de" else "")
+
+
 def feistel(value, key, kind):
     """The string permutation in Python."""
     chars = re.sub("[^0-9A-Za-z]", "", value)
@@ -180,6 +215,66 @@ def test_pii(spark):
     assert (got[100].text, got[100].n_values) == (rows[16][1], 0) and got[101].text is None and got[102].text == "" and got[103].text == "clean text"
 
 
+def test_pii_links_a_value_in_all_its_writings(spark):
+    same = [["+18075556237", "+1 (807) 555-6237", "(807) 555-6237", "807-555-6237"], ["+49 171 2345678", "0171 2345678", "0171-2345678", "+491712345678"], ["+33 1 23 45 67 89", "01 23 45 67 89"], ["Ann.Lee@mail.example.org", "ann.lee@MAIL.example.org"], ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"]]
+    clear = ["version 1.2.3.4", "firmware: 10.20.30.40", "DE88 3704 0044 0532 0130 00", "on 01 02 2024", "0123", "0 306 40615 2"]
+    rows = [*enumerate(f"x {v}, y" for vs in same for v in vs), *enumerate(clear, 100)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    at = iter(range(99))
+    for vs in same:
+        keys = set()
+        for v in vs:
+            i = next(at)
+            new = got[i].text[2:-3]
+            assert new.lower() != v.lower() and got[i].n_values == 1 and [c.isdigit() for c in new] == [c.isdigit() for c in v] and [c.isupper() for c in new] == [c.isupper() for c in v]
+            digits = re.sub("[^0-9]", "", new)
+            keys.add(new.lower() if "@" in v else new.replace(" ", "") if v[0] == "D" else re.sub(r"^(\+1|\+49|\+33|0)", "", new) and digits[-9:])
+        assert len(keys) == 1, keys
+    iban = got[len(sum(same, [])) - 1].text[2:-3]
+    assert iban[:2] == "DE" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert all((got[i].text, got[i].n_values) == (t, 0) for i, t in enumerate(clear, 100))
+
+
+def pair_feistel(a, b, ma, mb, key, kind):
+    """The permutation of pairs in Python."""
+    for i in range(1, pii.ROUNDS + 3):
+        n = lambda other: int(hashlib.sha256(f"{key}:{kind}:{i}:{other}".encode()).hexdigest()[:12], 16)
+        a, b = ((a + n(b)) % ma, b) if i % 2 == 0 else (a, (b + n(a)) % mb)
+    return a, b
+
+
+def test_pii_pairs_match_brute_force(spark):
+    import datetime
+
+    rng = random.Random(3)
+    first = datetime.date(1900, 1, 1)
+    ips = [tuple(rng.randrange(256) for _ in range(4)) for _ in range(20)]
+    days = [rng.randrange(pii.DAYS) for _ in range(20)]
+    ssns = [(rng.choice([1, 665, 667, 899, rng.randrange(1, 600)]), rng.randrange(1, 100), rng.randrange(1, 10_000)) for _ in range(20)]
+    secrets = ["".join(rng.choices("abcdef0123456789", k=12)) for _ in range(10)]
+    rows = [".".join(map(str, x)) for x in ips] + [(first + datetime.timedelta(d)).isoformat() for d in days] + [f"{a:03d}-{g:02d}-{n:04d}" for a, g, n in ssns] + [f"password: {x}" for x in secrets]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1), "k").orderBy("doc_id").collect()]
+    want = []
+    for x in ips:
+        a, b = pair_feistel(x[0] * 256 + x[1], x[2] * 256 + x[3], 65536, 65536, "k", "ip")
+        want.append(f"{a // 256}.{a % 256}.{b // 256}.{b % 256}")
+    for d in days:
+        a, b = pair_feistel(d // pii.DAYS_B, d % pii.DAYS_B, pii.DAYS_A, pii.DAYS_B, "k", "date")
+        want.append((first + datetime.timedelta(a * pii.DAYS_B + b)).isoformat())
+    for area, g, n in ssns:
+        a, b = pair_feistel((area - 1 - (area > 666)) * 99 + g - 1, n - 1, 898 * 99, 9999, "k", "ssn")
+        area = a // 99 + 1
+        want.append(f"{area + (area >= 666):03d}-{a % 99 + 1:02d}-{b + 1:04d}")
+    assert got == want + [f"password: {feistel(x, 'k', 'secret')}" for x in secrets]
+
+
+def test_pii_takes_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"user{i}@mail.example.com said x" for i in range(1500))
+    df = spark.createDataFrame([(1, long, "a", 1), (1, long, "b", 2)], "doc_id long, text string, kinds string, n_values int")
+    a, b = pii.pseudonymise(df, "k").collect()
+    assert a == b and a.n_values == 1500 and len(set(re.findall(r"\S+@\S+", a.text))) == 1500 and "user7@" not in a.text
+
+
 def test_pii_is_a_permutation(spark):
     dates = [(i, f"{1 + i % 28:02d}.{1 + i % 12:02d}.{1900 + i % 200}") for i in range(600)]
     new = [r.text for r in pii.pseudonymise(spark.createDataFrame(dates, "doc_id long, text string"), "k").collect()]
@@ -298,6 +393,124 @@ def test_html_verdict_is_the_same_on_large_hosts_and_rare_text_keeps_its_branch(
     assert html_extract._marks("div", ' class="w-1/2"')[0] == "div.w-0\\0"
 
 
+def shown(node):
+    tag, name, kids = node
+    return f"<{tag} class='{name}'>{''.join(k if isinstance(k, str) else shown(k) for k in kids)}</{tag}>"
+
+
+def plain_style_tree(pages, p):
+    """The text of each (host, root node) by the definitions, over dictionaries."""
+    import math
+
+    def walk(node, path=()):
+        path = (*path, f"{node[0]}.{node[1]}")
+        yield path, node
+        for k in node[2]:
+            if not isinstance(k, str):
+                yield from walk(k, path)
+
+    looks, feats = {}, {}
+    for host, root in {(h, shown(r)): (h, r) for h, r in pages}.values():
+        own = {}
+        for path, node in walk(root):
+            own.setdefault(path, []).append(" ".join(f"{k[0]}.{k[1]}" for k in node[2] if not isinstance(k, str)))
+            words = {x.strip() for x in " ".join(k for k in node[2] if isinstance(k, str)).split(".") if x.strip()}
+            feats.setdefault((host, path), []).append((shown(root), words))
+        for path, v in own.items():
+            looks.setdefault((host, path), []).append("|".join(v))
+
+    def smooth(x, m, prior):
+        return (p.prior_pages * prior + (m - 1) * x) / (p.prior_pages + m - 1) if m > 1 else prior
+
+    def importance(host, path, node):
+        """(mass, importance, noisy, pieces) of a branch, its pieces a list of (text, starts a block)."""
+        key = (host, path)
+        m = len(looks[key])
+        log = lambda n: math.log(n) / math.log(m) if m > 1 else 0.0
+        pages_of = {}
+        for html, words in feats[key]:
+            for w in words:
+                pages_of.setdefault(w, set()).add(html)
+        n = [len(x) for x in pages_of.values()]
+        content = smooth(1 - sum(x * log(x) for x in n) / sum(n), m, 1.0) if n and m > 1 else 1.0
+        layouts = [looks[key].count(x) for x in set(looks[key])]
+        look = smooth(1 - sum(x * log(x) for x in layouts) / m, m, 1.0)
+        text = " ".join(" ".join(k for k in node[2] if isinstance(k, str)).split())
+        mass, total, noisy, kids = len(text), len(text) * content, True, False
+        pieces = []
+        for k in node[2]:
+            if isinstance(k, str):
+                pieces.append((k, False))
+                continue
+            kids = True
+            w, v, low, inner = importance(host, (*path, f"{k[0]}.{k[1]}"), k)
+            mass, total, noisy = mass + w, total + w * v, noisy and (low or not w)
+            block = k[0] != "span"
+            pieces += [("", block), *([] if low and block else inner), ("", block)]
+        value = total / mass if mass else 1.0
+        if kids and mass:
+            value = (1 - 0.9 ** len(layouts)) * look + 0.9 ** len(layouts) * value
+        return mass, value, bool(mass) and noisy and value < p.threshold, pieces
+
+    out = []
+    for host, root in pages:
+        _, _, low, pieces = importance(host, (f"{root[0]}.{root[1]}",), root)
+        blocks = [""]
+        for text, new in [] if low else pieces:
+            blocks += [""] if new else []
+            blocks[-1] += text
+        out.append(" ".join(" ".join(b.split()) for b in blocks if b.strip()))
+    return out
+
+
+def test_html_matches_a_plain_style_tree(spark):
+    rng = random.Random(11)
+    words = lambda pool, n: " ".join(f"w{rng.randrange(pool)}" for _ in range(n))
+
+    def page(i, host):
+        menu = ("ul", "m0", [("li", "i", [("span", "s", [f"item {k} {host}"])]) for k in range(rng.choice([3, 4]))])
+        box = ("div", "b1", [f"please read this. today {rng.randrange(3)}"])
+        body = ("section", "c", [("p", "p", [words(10**6, 8), ("span", "s", [words(10**6, 2)])]) for _ in range(rng.randrange(1, 5))])
+        mixed = ("div", "x", [words(10**6, 3) if rng.random() < 0.5 else "the same note", ("div", "y", [words(20, 1)])])
+        return ("div", "root", [menu, *([box] if rng.random() < 0.8 else []), body, mixed, "tail " + words(10**6, 1)])
+
+    pages = [(h, page(i, h)) for h, n in (("a", 60), ("b", 12), ("c", 4), ("d", 1)) for i in range(n)]
+    pages += [("a", pages[0][1])] * 5 + [("b", pages[61][1])]
+    df = spark.createDataFrame([(i, f"http://{h}/", shown(x), 1) for i, (h, x) in enumerate(pages)], "page_id long, url string, html string, m int").repartition(3)
+    for p in (html_extract.StyleTree(), html_extract.StyleTree(threshold=0.9), html_extract.StyleTree(threshold=0.0)):
+        got = {r.page_id: r.text for r in html_extract.extract(df, p).collect()}
+        want = plain_style_tree(pages, p)
+        assert [got[i] for i in range(len(pages))] == want
+        if p.threshold == 0.6:
+            # unmarked menus and boxes go from hosts with many pages, and no other text does
+            assert not any("item" in t or "please" in t for t in want[:60]) and all("item" in t for t in want[72:76])
+
+
+def test_html_finds_main_text_of_unmarked_pages(spark):
+    """Words kept and lost over pages with known main text and boilerplate that no tag or class names."""
+    rng = random.Random(12)
+    words = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, truth = [], {}
+    for host in range(6):
+        links, promo = [f"go{host}x{k} there" for k in range(9)], [f"offer{host}x{k} of the week" for k in range(4)]
+        for i in range(80):
+            own = [words(rng.randrange(5, 40)) for _ in range(rng.randrange(1, 6))]
+            html = f"<html><body><div class=k1><ul>{''.join(f'<li><a href=/{k}>{x}</a></li>' for k, x in enumerate(rng.sample(links, 7)))}</ul></div><div class=k2>{rng.choice(promo)}</div><div class=k3>{''.join(f'<p>{' '.join(x)}</p>' for x in own)}</div><div class=k4>All copies of host {host}</div></body></html>"
+            truth[len(rows)] = sum(own, [])
+            rows.append((len(rows), f"http://h{host}/{i}", html))
+    got = {r.page_id: r.text.split() for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    hit = sum(len(set(got[i]) & set(t)) for i, t in truth.items())
+    assert hit / sum(map(len, truth.values())) >= 0.95 and hit / sum(map(len, got.values())) >= 0.95
+
+
+def test_html_keeps_classes_that_name_no_part_of_a_site(spark):
+    kept = ['<p class="share-price">Up.</p>', '<section id="related-work"><p>Others.</p></section>', '<div class="notice-period">Three months.</div>', '<div class="ad-hoc">So.</div>']
+    gone = ['<div class="ad-box">x</div>', '<div id="comments-list"><p>x</p></div>', '<div class="cookieNotice">x</div>', '<ul class="social-links"><li>x</li></ul>', '<div style="display: none">x</div>', '<article class="comment"><p>x</p></article>']
+    html = f"<body><p>Before.</p><main><p>Text.</p>{''.join(kept + gone)}</main><h2>After.</h2><div class=strip>loose</div></body>"
+    (got,) = html_extract.extract(spark.createDataFrame([(None, "http://one/", html)], "page_id long, url string, html string")).collect()
+    assert got.text == "Before. Text. Up. Others. Three months. So. After." and got.page_id is None
+
+
 def test_pii_finds_a_card_beside_short_numbers(spark):
     card = "4111 1111 1111 1111"
     near = [f"card {card} 12/27", "4111111111111111 123", "12 4111111111111111", f"7 {card} 9", "4111-1111-1111-1111-12"]
