@@ -5,6 +5,13 @@ returns a DataFrame that is written as Parquet and read again as the next stage'
 the last return the columns of documents; n_chars follows the text. None of the stages can be
 given as SQL as a whole (a trained model decides which rows the others see), so ORACLE_SQL is
 None and tests hold the result against a brute-force version.
+
+Defined results of the stages: an empty table gives an empty table; a null or empty text is scored
+like an empty one, has no lines, no duplicates and no tokens; a null id is a document of its own that
+no other is compared with; a null source is a source of its own; repeated rows are one document of
+which one stays; of ties the smallest id stays, and of rows that share it the smallest hash of the
+text; very long texts are read whole; columns that a table has beside those of documents are left out
+by the second stage, so their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -60,8 +67,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after another; a stage's inner tables and its input go when its result is written."""
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = ws.write(stage(spark, docs, sf_dir), f"stage{k}")
+        before = len(Workspace.made)
+        after = ws.write(stage(spark, docs, sf_dir), f"stage{k}")
+        for inner in Workspace.made[before:]:
+            inner.clear()
+        if k:
+            ws.drop(docs)
+        docs = after
     return docs
