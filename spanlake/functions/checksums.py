@@ -47,6 +47,16 @@ def inn(s: str) -> str:
     return f"(CASE WHEN {is_digits(s, 10)} THEN {ten} WHEN {is_digits(s, 12)} THEN {twelve} ELSE false END)"
 
 
+def is_inn(s: str) -> bool:
+    """The same test in Python, for repairs that read a text on their own."""
+    if not s.isdecimal() or not s.isascii():
+        return False
+    check = lambda weights: sum(w * int(d) for w, d in zip(weights, s)) % 11 % 10
+    if len(s) == 10:
+        return check(INN10) == int(s[9])
+    return len(s) == 12 and check(INN11) == int(s[10]) and check(INN12) == int(s[11])
+
+
 def ogrn(s: str) -> str:
     def part(n: int, mod: int) -> str:
         return f"CAST(substring({s}, 1, {n}) AS BIGINT) % {mod} % 10 = {digit(s, n)}"

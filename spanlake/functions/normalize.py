@@ -40,8 +40,11 @@ DOCUMENT_OWNED = ("contract_number", "contract_amount", "delivery_period", "paym
 #: Case endings of names, the first that fits and leaves three letters goes.
 PERSON_ENDINGS = ("иями", "ями", "ами", "ого", "ему", "ыми", "ими", "иях", "ах", "ях", "ой", "ей", "ом", "ем", "а", "я", "у", "ю", "ы", "и", "е")
 ORG_FORMS = ("общество с ограниченной ответственностью", "публичное акционерное общество", "индивидуальный предприниматель", "акционерное общество", "мбоу", "мбдоу", "гбуз", "фгуп", "муп", "пао", "нао", "ооо", "оао", "зао", "ао", "ип")
-#: Letters of the slug's transliteration.
-TRANSLIT = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "a b v g d e e zh z i y k l m n o p r s t u f h c ch sh sch _ y _ e yu ya".replace("_", "").split(" ")))
+#: Letters of the slug's transliteration, as they come out after compatibility decomposition.
+TRANSLIT = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e-", "ж": "j", "з": "z", "и": "i", "й": "i-", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "z", "ч": "c", "ш": "s", "щ": "s", "ъ": "-", "ы": "y", "ь": "-", "э": "e", "ю": "u", "я": "a", "№": "-o",
+}
 
 
 def _in(values: tuple[str, ...]) -> str:
@@ -101,9 +104,32 @@ def marker(role: str, label: str, number: str) -> str:
     return f"('[' || concat_ws('-', nullif({role}, ''), {label}, CAST({number} AS STRING)) || ']')"
 
 
+def role(s: str) -> str:
+    """A role's name without case, punctuation at its ends and runs of white space."""
+    return f"trim(regexp_replace(lower(trim(both {quote(' .,;:«»' + chr(34) + chr(9))} from {s})), '(?U)\\\\s+', ' '))"
+
+
 def slug(s: str) -> str:
-    """Latin letters and digits joined by hyphens."""
-    out = f"lower({s})"
+    """Latin letters and digits joined by hyphens; `side` where none is left."""
+    out = role(s)
     for a, b in TRANSLIT.items():
         out = f"replace({out}, '{a}', '{b}')"
-    return f"trim(both '-' from regexp_replace({out}, '[^a-z0-9]+', '-'))"
+    return f"coalesce(nullif(trim(both '-' from regexp_replace({out}, '[^a-z0-9]+', '-')), ''), 'side')"
+
+
+def role_title(s: str) -> str:
+    """The role as a document shows it: its first letter large."""
+    return f"concat(upper(left({role(s)}, 1)), substring({role(s)}, 2))"
+
+
+def marker_role(s: str) -> str:
+    return f"replace(upper({role(s)}), ' ', '-')"
+
+
+def subject(kind: str, s: str) -> str:
+    """Who or what a value names: for a person the surname and the first initial, so full and short forms meet; else its key."""
+    words = f"split({person(s)}, ' ')"
+    initials = f"filter({words}, w -> w RLIKE {quote(r'^[а-я][.]([а-я][.])?$')})"
+    names = f"filter({words}, w -> NOT w RLIKE {quote(r'^[а-я][.]([а-я][.])?$')})"
+    first = f"coalesce(left(get({initials}, 0), 1), left(get({names}, 1), 1), '')"
+    return f"IF({kind} = 'person' AND size({names}) > 0, concat('person:', get({names}, 0), ':', {first}), {group_key(kind, s)})"

@@ -103,8 +103,8 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str,
     return left.join(spread, [*keys, left_pos], how)
 
 
-def taint(seeds: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def taint(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """All nodes (node) that depend on a seed over edges (src -> dst): semi-naive rounds until nothing is new."""
     from spanlake.operators.frontier import grow
 
-    return grow(seeds, edges, rounds)
+    return grow(seeds, edges)

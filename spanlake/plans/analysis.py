@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanlake.operators import analytics as an
+from spanlake.operators import planning, quality
 
 from .registry import query, read
 
@@ -101,11 +102,9 @@ def a1_counts_grouping_sets(spark, sf_dir):
     return out.agg(F.grouping("type").cast("long").alias("g_type"), F.grouping("detector").cast("long").alias("g_detector"), F.count(F.lit(1)).alias("n"), F.min(F.col("end") - F.col("start")).alias("shortest"))
 
 
-@query(f"WITH s AS ({SPANS}) SELECT a.doc_id, a.seg_order, a.\"start\", a.\"end\", a.type, a.n, count(DISTINCT b.detector) AS signals FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.seg_order = b.seg_order AND a.type = b.type AND a.\"start\" < b.\"end\" AND b.\"start\" < a.\"end\" GROUP BY ALL")
+@query(f"WITH s AS ({SPANS}) SELECT a.doc_id, a.seg_order, a.\"start\", a.\"end\", a.type, a.detector, count(DISTINCT b.detector) AS signals FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.seg_order = b.seg_order AND a.type = b.type AND a.\"start\" < b.\"end\" AND b.\"start\" < a.\"end\" GROUP BY ALL")
 def a2_j8_signal_counts(spark, sf_dir):
-    a, b = spans(spark, sf_dir).alias("a"), spans(spark, sf_dir).alias("b")
-    on = "a.doc_id = b.doc_id AND a.seg_order = b.seg_order AND a.type = b.type AND a.start < b.end AND b.start < a.end"
-    return a.join(b, F.expr(on)).groupBy(*(F.col(f"a.{c}") for c in ("doc_id", "seg_order", "start", "end", "type", "n"))).agg(F.countDistinct("b.detector").alias("signals"))
+    return planning.signal_counts(spans(spark, sf_dir))
 
 
 @query(f"WITH s AS ({SPANS}) SELECT doc_id, seg_order, \"start\", \"end\", n FROM s a WHERE type = 'person' AND NOT EXISTS (SELECT 1 FROM s b WHERE b.type <> 'person' AND a.doc_id = b.doc_id AND a.seg_order = b.seg_order AND a.\"start\" < b.\"end\" AND b.\"start\" < a.\"end\")")
@@ -137,12 +136,15 @@ def j17_next_span(spark, sf_dir):
     return j.groupBy("a.doc_id", "a.n", "a.seg_order", "a.start", "a.end").agg(F.min_by(F.col("b.n"), F.struct(F.col("b.start"), F.col("b.n"))).alias("next_n"))
 
 
-@query(f"WITH s AS ({SPANS}) SELECT a.doc_id, a.seg_order, a.n AS label_n, b.n AS value_n FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.seg_order = a.seg_order + 1 AND a.type = 'inn' AND b.type = 'money'")
-def j7_label_value_cells(spark, sf_dir):
-    s = spans(spark, sf_dir)
-    a = s.filter("type = 'inn'").select("doc_id", "seg_order", F.col("n").alias("label_n"))
-    b = s.filter("type = 'money'").select("doc_id", (F.col("seg_order") - 1).alias("seg_order"), F.col("n").alias("value_n"))
-    return a.join(b, ["doc_id", "seg_order"])
+#: Customers as rows of sheets: a label and, to its right, a code; some labels are others, some codes have a digit too few.
+CELLS = "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(c_custkey * 2 + col AS INT) AS seg_order, 'Лист' || c_custkey % 2 AS sheet, CAST(c_custkey AS INT) AS row, col, CASE WHEN col = 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'БИК:' WHEN c_custkey % 3 = 1 THEN ' бик ' ELSE 'БИК банка' END ELSE ' ' || CAST(40000000 + c_custkey AS STRING) || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '1' END END AS text FROM customer, (SELECT 1 AS col UNION ALL SELECT 2 AS col) t"
+
+
+@query(f"SELECT doc_id, seg_order, 1 AS \"start\", 10 AS \"end\", trim(text) AS text, 'bik' AS type, 1.0::DOUBLE AS confidence FROM ({CELLS.replace('AS STRING', 'AS VARCHAR')}) WHERE col = 2 AND row % 3 <> 2 AND row % 5 <> 0")
+def j7_d1n_labelled_biks(spark, sf_dir):
+    from spanlake.operators import cells
+
+    return cells.labelled_biks(sql(spark, sf_dir, CELLS))
 
 
 @query(f"SELECT doc_id, n, 'E' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg_order, \"start\", \"end\", type, n) AS STRING) AS ref FROM ({SPANS})")
@@ -261,9 +263,45 @@ def a10_purity(spark, sf_dir):
     return an.purity(spans(spark, sf_dir).select("doc_id", F.col("seg_order").alias("cluster"), F.col("type").alias("party")))
 
 
-@query(f"SELECT doc_id, supp, greatest(count(*) - count(DISTINCT type), 0) AS duplicates, count(DISTINCT type) > 1 AS inconsistent FROM ({SPANS}) GROUP BY 1, 2")
-def a12_marker_consistency(spark, sf_dir):
-    return spans(spark, sf_dir).groupBy("doc_id", "supp").agg(F.greatest(F.count(F.lit(1)) - F.countDistinct("type"), F.lit(0)).alias("duplicates"), (F.countDistinct("type") > 1).alias("inconsistent"))
+@query("SELECT c_custkey AS doc_id, '[ИНН]' AS marker, CAST(c_custkey % 5 - 2 AS BIGINT) AS extra FROM customer WHERE c_custkey % 5 > 2")
+def a12_duplicate_markers(spark, sf_dir):
+    """Two groups with one marker and a replacement each, and texts that show it none to four times."""
+    c = read(spark, sf_dir, "customer")
+    groups = c.selectExpr("c_custkey AS doc_id", "'[ИНН]' AS marker", "1L AS n_refs")
+    return quality.duplicate_markers(groups.unionByName(groups), c.selectExpr("c_custkey AS doc_id", "repeat('x [ИНН] ', CAST(c_custkey % 5 AS INT)) AS text"))
+
+
+@query("SELECT c_custkey AS doc_id, 'G1' AS group_id, CASE WHEN c_custkey % 4 = 2 THEN '[А],[Б]' ELSE '[А],[Б],[ИНН 1]' END AS labels FROM customer WHERE c_custkey % 4 IN (2, 3) UNION ALL SELECT c_custkey, 'G1', '[А],[ИНН 1]' FROM customer WHERE c_custkey % 4 = 1")
+def a12_inconsistent_markers(spark, sf_dir):
+    """Groups of two or three replacements of which none, one or two show another label than the group's."""
+    c = read(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "'G1' AS group_id", "'[ИНН 1]' AS canonical_label", "CASE WHEN c_custkey % 4 = 3 THEN 3L ELSE 2L END AS n_refs")
+    shown = c.filter("doc_id % 4 > 0").selectExpr("doc_id", "group_id", "explode(IF(doc_id % 4 = 1, array('[А]'), array('[А]', '[Б]'))) AS label")
+    return quality.inconsistent_markers(c, shown).withColumn("labels", F.array_join("labels", ","))
+
+
+@query(f"SELECT doc_id, 'G' || supp AS group_id, CASE max(n % 3) WHEN 0 THEN 'possible' WHEN 1 THEN 'probable' ELSE 'confirmed' END AS level FROM ({SPANS}) GROUP BY doc_id, supp")
+def a5_best_levels(spark, sf_dir):
+    level = F.element_at(F.array(*map(F.lit, planning.LEVELS)), F.col("n") % 3 + 1)
+    return planning.best_levels(spans(spark, sf_dir).select("doc_id", F.concat(F.lit("G"), F.col("supp").cast("string")).alias("group_id"), level.alias("level")))
+
+
+@query(f"SELECT doc_id, CASE WHEN n > 4 THEN 'type_not_requested' ELSE 'visible_contract_term' END AS reason, count(*) AS n FROM ({SPANS}) GROUP BY 1, 2")
+def a6_skipped_by_reason(spark, sf_dir):
+    return planning.skipped_by_reason(spans(spark, sf_dir).select("doc_id", F.when(F.col("n") > 4, "type_not_requested").otherwise("visible_contract_term").alias("reason")))
+
+
+@query(f"SELECT o_orderkey AS doc_id, coalesce(n, 0) AS n FROM orders LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({SPANS}) WHERE type = 'person' GROUP BY 1) s ON doc_id = o_orderkey WHERE o_orderkey % 50 = 0")
+def a9_negative_finds(spark, sf_dir):
+    clean = read(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("doc_id"))
+    return quality.negative_finds(spans(spark, sf_dir).filter("type = 'person'"), clean)
+
+
+@query("""WITH m AS (SELECT c_nationkey AS doc_id, c_custkey, c_mktsegment AS party, 'P' || c_custkey % 5 AS profile_id, CASE WHEN c_custkey % 7 < 4 THEN lower(c_mktsegment) WHEN c_custkey % 7 < 6 THEN 'other' END AS role FROM customer WHERE c_custkey % 3 <> 0)
+SELECT 1.0::DOUBLE AS cluster_purity, round(count(role) / count(*), 9) AS role_coverage, round(count(*) FILTER (role <> 'other') / count(role), 9) AS role_accuracy FROM m""")
+def a10_role_measures(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").selectExpr("CAST(c_nationkey AS BIGINT) AS doc_id", "'inn' AS type", "CAST(c_custkey AS STRING) AS value", "c_mktsegment AS party", "array(lower(c_mktsegment)) AS roles", "c_custkey")
+    members = c.filter("c_custkey % 3 <> 0").selectExpr("doc_id", "concat('P', c_custkey % 5) AS profile_id", "type", "value", "CASE WHEN c_custkey % 7 < 4 THEN lower(party) WHEN c_custkey % 7 < 6 THEN 'other' END AS role")
+    return quality.role_measures(c.drop("c_custkey"), members)
 
 
 @query("SELECT doc_id, CAST((length(text) - length(replace(text, 'the ', ''))) / 4 AS BIGINT) AS n FROM documents")
@@ -276,18 +314,10 @@ def a27_marker_legend(spark, sf_dir):
     return spans(spark, sf_dir).groupBy("doc_id", "type").agg(F.array_join(F.array_sort(F.collect_set(F.col("seg_order") + 1)), ",").alias("pages"))
 
 
-@query(f"SELECT doc_id, count(*) AS n, CAST(count(*) FILTER (type = 'inn') AS BIGINT) AS inn_n FROM ({SPANS}) GROUP BY doc_id HAVING count(DISTINCT seg_order) >= 3")
-def f6_frequency(spark, sf_dir):
-    w = Window.partitionBy("doc_id")
-    s = spans(spark, sf_dir).withColumn("places", F.size(F.collect_set("seg_order").over(w))).filter("places >= 3")
-    return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == "inn").alias("inn_n"))
-
-
-@query(f"SELECT a.user_id, a.n AS base_n, b.n AS other_n, b.n - a.n AS delta FROM (SELECT user_id, count(*) AS n FROM ({RUNS}) WHERE status = 'done' GROUP BY 1) a JOIN (SELECT user_id, count(*) AS n FROM ({RUNS}) WHERE status = 'failed' GROUP BY 1) b USING (user_id)")
+@query(f"SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS base_n, coalesce(b.n, 0) AS other_n, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT user_id, count(*) AS n FROM ({RUNS}) WHERE status = 'done' GROUP BY 1) a FULL JOIN (SELECT user_id, count(*) AS n FROM ({RUNS}) WHERE status = 'failed' GROUP BY 1) b ON a.user_id = b.user_id")
 def j14_run_comparison(spark, sf_dir):
     r = runs(spark, sf_dir)
-    count = lambda s, n: r.filter(F.col("status") == s).groupBy("user_id").agg(F.count(F.lit(1)).alias(n))
-    return count("done", "base_n").join(count("failed", "other_n"), "user_id").withColumn("delta", F.col("other_n") - F.col("base_n"))
+    return quality.compare_runs(r.filter("status = 'done'"), r.filter("status = 'failed'"), "user_id")
 
 
 @query(f"SELECT user_id, id FROM ({RUNS}) r WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = r.user_id AND c.c_acctbal < 0) AND lower(node_hint) LIKE '%high%'")

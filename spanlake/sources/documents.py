@@ -41,6 +41,24 @@ def _paragraph(p: ET.Element) -> str:
     return "".join(out)
 
 
+def _runs(p: ET.Element) -> Iterator[tuple[int, str]]:
+    """(offset, text) of a paragraph's runs, those of hyperlinks too, offsets by the lengths so far."""
+    at = 0
+    for r in p.iter(f"{W}r"):
+        text = _paragraph(r)
+        yield at, text
+        at += len(text)
+
+
+def docx_runs(data: bytes) -> Iterator[tuple]:
+    """(para, run, start, end, text) of the body paragraphs' runs."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = ET.fromstring(z.read("word/document.xml")).find(f"{W}body")
+    for n, p in enumerate(body.findall(f"{W}p") if body is not None else ()):
+        for k, (at, text) in enumerate(_runs(p)):
+            yield n, k, at, at + len(text), text
+
+
 def docx_rows(data: bytes) -> Iterator[tuple]:
     """(kind, sheet, row, col, tbl, cell, para, text) of body paragraphs and top-level table cells, in reading order; blank ones are left out."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -67,6 +85,25 @@ def _column(ref: str) -> int:
     return n
 
 
+#: Built-in number formats that show a date.
+DATE_FORMATS = frozenset((*range(14, 23), *range(45, 48)))
+
+
+def _date_styles(styles: bytes) -> set[int]:
+    """Cell styles whose number format shows a date."""
+    root = ET.fromstring(styles)
+    own = {int(f.get("numFmtId")) for f in root.iter(f"{S}numFmt") if re.search("[dmy]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\\\.', "", f.get("formatCode", "")), re.IGNORECASE)}
+    cells = root.find(f"{S}cellXfs")
+    return {i for i, x in enumerate(cells if cells is not None else ()) if int(x.get("numFmtId", 0)) in DATE_FORMATS | own}
+
+
+def _date_text(serial: float) -> str:
+    """A serial number of days as dd.mm.yyyy; of the year 1900 the day that was none is left out."""
+    import datetime
+
+    return (datetime.date(1899, 12, 30) + datetime.timedelta(days=int(serial) + (serial < 60))).strftime("%d.%m.%Y")
+
+
 def xlsx_rows(data: bytes) -> Iterator[tuple]:
     """The same tuple for every cell that is not blank: cached values of formulas, whole numbers without a fraction, booleans as words."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -74,6 +111,7 @@ def xlsx_rows(data: bytes) -> Iterator[tuple]:
         strings = []
         if "xl/sharedStrings.xml" in names:
             strings = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{S}si")]
+        dated = _date_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in names else set()
         rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet"):
             target = rels[sheet.get(f"{REL}id")].lstrip("/")
@@ -88,6 +126,8 @@ def xlsx_rows(data: bytes) -> Iterator[tuple]:
                     text = strings[int(v.text)]
                 elif kind == "b":
                     text = "ИСТИНА" if v.text == "1" else "ЛОЖЬ"
+                elif kind == "n" and int(c.get("s", 0)) in dated:
+                    text = _date_text(float(v.text))
                 elif kind == "n" and re.fullmatch(r"-?\d+\.0+", v.text):
                     text = v.text.partition(".")[0]
                 else:
@@ -99,19 +139,62 @@ def xlsx_rows(data: bytes) -> Iterator[tuple]:
 READERS = {"docx": docx_rows, "xlsx": xlsx_rows}
 
 
-def read_office(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Segments of all files of a kind ('docx' or 'xlsx') below a path, with their anchors. An unknown kind is an error."""
+def read_office(spark: SparkSession, path: str, kind: str, *, errors: bool = False) -> DataFrame:
+    """Segments of all files of a kind ('docx' or 'xlsx') below a path, with their anchors. An unknown kind is an error. A damaged
+    file gives no segment; with errors, one row whose `error` says why."""
     if kind not in READERS:
         raise ValueError(f"no reader for {kind!r}; there are {sorted(READERS)}")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{kind},{kind.upper()}}}").option("recursiveFileLookup", "true").load(path).select("path", "content")
     reader = READERS[kind]
+    schema = _SCHEMA.append(pa.field("error", pa.string()))
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    rows += [(p, i, *row, None) for i, row in enumerate(list(reader(data)))]
+                except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError) as e:
+                    rows.append((p, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    out = files.mapInArrow(run, f"{SEGMENT_DDL}, error string")
+    return out if errors else out.filter("error IS NULL").drop("error")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Segments of all office and text files below a path by their suffix, in any case; a file of another kind is an error that
+    names it. Columns as read_office."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    other = names.filter(~suffix.isin(*READERS, "txt", "json")).limit(1).collect()
+    if other:
+        raise ValueError(f"no reader for {other[0]['path']!r}; there are {sorted((*READERS, 'txt'))}")
+    texts = spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.{txt,TXT}").option("recursiveFileLookup", "true").load(path).select(F.input_file_name().alias("path"), "value")
+    lines = texts.select("path", F.posexplode(F.split("value", "\r?\n", -1)).alias("seg_order", "text")).filter(F.col("text").rlike(r"(?U)\S"))
+    none = {"sheet": "string", "row": "int", "col": "int", "tbl": "int", "cell": "int"}
+    plain = lines.select("path", "seg_order", F.lit("body").alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()), F.col("seg_order").alias("para"), "text")
+    out = plain
+    for kind in READERS:
+        out = out.unionByName(read_office(spark, path, kind))
+    return out
+
+
+def document_metadata(spark: SparkSession, path: str, glob: str = "*.{docx,xlsx}") -> DataFrame:
+    """path, meta: the core properties of office files that are not empty, as a map of names to values."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    schema = pa.schema([("path", pa.string()), ("meta", pa.map_(pa.string(), pa.string()))])
 
     def run(batches):
         for b in batches:
-            rows = [(p, i, *row) for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, row in enumerate(reader(data))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SCHEMA)], schema=_SCHEMA)
+            rows = []
+            for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    core = ET.fromstring(z.read("docProps/core.xml")) if "docProps/core.xml" in z.namelist() else ()
+                rows.append((p, [(e.tag.rpartition("}")[2], e.text.strip()) for e in core if (e.text or "").strip()]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return files.mapInArrow(run, SEGMENT_DDL)
+    return files.mapInArrow(run, "path string, meta map<string,string>")
 
 
 def container_parts(spark: SparkSession, path: str, glob: str = "*.docx") -> DataFrame:
@@ -133,7 +216,7 @@ def container_parts(spark: SparkSession, path: str, glob: str = "*.docx") -> Dat
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Gold entities of `*.labels.json` files: doc (the file's stem), type, text, party."""
+    """Gold entities of `*.labels.json` files: doc (the file's stem), type, text, party; types of the file's own too."""
     schema = "entities array<struct<type string, text string, party string>>"
     files = spark.read.schema(schema).option("multiLine", "true").option("pathGlobFilter", "*.labels.json").json(path)
     doc = F.regexp_extract(F.input_file_name(), r"([^/]+)\.labels\.json$", 1)
