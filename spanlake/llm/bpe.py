@@ -61,7 +61,7 @@ DONE = f"SELECT w, string_agg(id, ',' ORDER BY k) AS ids FROM last WHERE w NOT I
 REST = f"CREATE OR REPLACE TABLE start AS SELECT k, nk, id, nid FROM last WHERE w IN ({OPEN})"
 
 #: The bytes of each document's ids, one character of the first 256 for a byte.
-DECODE = "SELECT d, string_agg(chars, '' ORDER BY pos) AS chars FROM given JOIN vocab USING (id) GROUP BY d"
+DECODE = "SELECT d, string_agg(chars, '' ORDER BY pos) AS chars FROM (SELECT d, pos, chars FROM given JOIN vocab USING (id)) GROUP BY d"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
