@@ -11,9 +11,7 @@ not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,17 +43,22 @@ class LineRules:
     max_lost: int = 50
     min_words: int = 50
     max_repeated: int = 50
-    #: Phrases of all languages by default, as a line's language is not known.
+    #: Phrases in small letters, of all languages by default, as a line's language is not known.
     boilerplate: tuple[str, ...] = tuple(x for phrases in BOILERPLATE.values() for x in phrases)
 
 
-@lru_cache
-def _boilerplate(phrases: tuple[str, ...]) -> re.Pattern:
-    return re.compile("|".join(map(re.escape, phrases)) or "(?!)", re.IGNORECASE)
+def _plain(text: str) -> str:
+    return text.lower().replace("ſ", "s")
 
 
-def line_fails(line: str, words: list[bytes], rules: LineRules) -> str:
-    """The rule that the line breaks, or an empty string."""
+def phrases_of(text: str, rules: LineRules) -> list[str]:
+    """The phrases that the text holds in any case: its lines are only asked for these."""
+    low = _plain(text)
+    return [p for p in rules.boilerplate if p in low]
+
+
+def line_fails(line: str, words: list[bytes], rules: LineRules, phrases: list[str] | None = None) -> str:
+    """The rule that the line breaks, or an empty string; phrases: those of its text, where they are known."""
     n = len(words)
     if 100 * sum(map(line.count, SYMBOLS)) > rules.max_symbols * n or 100 * line.count("!") > rules.max_exclamations * n:
         return "punctuation"
@@ -63,7 +66,9 @@ def line_fails(line: str, words: list[bytes], rules: LineRules) -> str:
         return "punctuation"
     if 100 * sum(words.count(s) for s in _SEPARATORS) >= rules.min_separators * n:
         return "navigation"
-    return "boilerplate" if _boilerplate(rules.boilerplate).search(line) else ""
+    if phrases is None:
+        phrases = rules.boilerplate
+    return "boilerplate" if phrases and any(map(_plain(line).__contains__, phrases)) else ""
 
 
 _SEPARATORS = tuple(s.encode() for s in SEPARATORS)
@@ -93,12 +98,13 @@ def judge(text: str, rules: LineRules) -> tuple:
     n = len(words)
     seen: set[str] = set()
     dup = lost = 0
+    phrases = phrases_of(text, rules)
     kept_lines, broken = [], {"punctuation": 0, "navigation": 0, "boilerplate": 0}
     for line in text.split("\n"):
         if own := line.encode().split():
             dup += line in seen
             seen.add(line)
-            if rule := line_fails(line, own, rules):
+            if rule := line_fails(line, own, rules, phrases):
                 broken[rule] += 1
                 lost += len(own)
                 continue
