@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanlake.functions import checksums as cs
 from spanlake.functions import normalize as nz
 from spanlake.functions.spans import free_parts, greedy, replace_spans, spans
-from spanlake.operators import folds, planning, rules, texts
+from spanlake.operators import folds, planning, quality, rules, texts
 
 
 def sql(spark, expr):
@@ -157,3 +157,24 @@ def test_sweep_broadcasts_no_side(spark):
     got = texts.sweep(segments, small)
     assert joins(got) == (0, 2)
     assert [(r.seg_order, r.start, r.text) for r in got.collect()] == [(1, 2, "ДП-12345/2024")]
+
+
+def test_similar_images_match_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    wide = [rng.getrandbits(64) - (1 << 63) for _ in range(150)]
+    near = [h ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 4))) for h in wide[:100]]
+    for hashes in (wide + near + [-1, 0, 0, -(1 << 63), None], [3 * i for i in range(200)], [7, 7, 7], [5], [None]):
+        df = spark.createDataFrame(list(enumerate(hashes)), "image long, h long").repartition(3)
+        for most in (0, 1, 3):
+            want = [(a, b, n) for a, x in enumerate(hashes) for b, y in enumerate(hashes[:]) if a < b and None not in (x, y) and (n := ((x ^ y) & (1 << 64) - 1).bit_count()) <= most]
+            assert sorted(map(tuple, quality.similar_images(df, most).collect())) == sorted(want)
+
+
+def test_similar_hashes_fill_no_bucket():
+    # hashes of few varying bits: keys and comparisons stay far below the pairs
+    masks, reach = quality.bands((1 << 22) - 1, 900_000, 1)
+    width = max(m.bit_count() for m in masks)
+    assert sum(masks) == (1 << 22) - 1 and (reach + 1) * len(masks) > 1
+    assert len(masks) * (1 + reach * width) * 900_000 / 2**width < 30
