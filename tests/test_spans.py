@@ -178,3 +178,8 @@ def test_similar_hashes_fill_no_bucket():
     width = max(m.bit_count() for m in masks)
     assert sum(masks) == (1 << 22) - 1 and (reach + 1) * len(masks) > 1
     assert len(masks) * (1 + reach * width) * 900_000 / 2**width < 30
+
+
+def test_a_labelled_address_is_no_insurance_number(spark):
+    assert kinds(spark, "IP-адрес: 10.104.120.248 узла") == []
+    assert kinds(spark, "СНИЛС 112.233.445.95", "IP 8.8.8.8, СНИЛС 112-233-445 95") == [("snils", "112.233.445.95"), ("ip_address", "8.8.8.8"), ("snils", "112-233-445 95")]
