@@ -109,7 +109,7 @@ def mask(segments: DataFrame, types: tuple[str, ...] | None = None, custom: tupl
     again = rules.detect_rules(masked.select("doc_id", "seg_order", F.regexp_replace("masked", r"\[[^\[\]]*\]", "\u0000").alias("text")))
     asked = replacements.select("doc_id", "type").distinct()
     again = again.filter(F.expr(nz.is_critical("type"))).join(asked, ["doc_id", "type"], "left_semi")
-    leaks = leaks.unionByName(again.select("doc_id", "seg_order", F.col("text").alias("value"), F.lit("detector").alias("kind")))
+    leaks = leaks.unionByName(again.select("doc_id", "seg_order", F.col("text").alias("value"), F.lit(False).alias("in_number"), F.lit("detector").alias("kind")))
     return Result(segments, spans, profiles, replacements, groups, skipped, masked, leaks, sinks.report(segments.select("doc_id"), groups, skipped))
 
 

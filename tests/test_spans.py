@@ -183,3 +183,10 @@ def test_similar_hashes_fill_no_bucket():
 def test_a_labelled_address_is_no_insurance_number(spark):
     assert kinds(spark, "IP-адрес: 10.104.120.248 узла") == []
     assert kinds(spark, "СНИЛС 112.233.445.95", "IP 8.8.8.8, СНИЛС 112-233-445 95") == [("snils", "112.233.445.95"), ("ip_address", "8.8.8.8"), ("snils", "112-233-445 95")]
+
+
+def test_leaks_tell_values_from_parts_of_numbers(spark):
+    masked = spark.createDataFrame([(1, 0, "Накладная № 3662103004"), (1, 1, "КПП 366210300, 3662103004"), (1, 2, "x366210300y"), (1, 3, "a\\\\Eb  7")], "doc_id long, seg_order int, masked string")
+    repl = spark.createDataFrame([(1, "366210300"), (1, "a\\\\Eb 7"), (1, "4")], "doc_id long, text string")
+    got = sorted((r.seg_order, r.value, r.in_number) for r in planning.leaks(masked, repl).collect())
+    assert got == [(0, "366210300", True), (0, "4", True), (1, "366210300", False), (1, "4", True), (2, "366210300", False), (3, "a\\\\Eb 7", False)]
