@@ -10,13 +10,15 @@ so found are deleted: every deleted line has an equal line at an earlier place,
 occurrence of each run stays. A line of window_words words or more is a window of its own, so
 such a line is deleted whenever it occurs earlier.
 
-At one word each, the default, every line is a gram and a window of its own: each line with a word
-that occurs at an earlier place goes, whatever its length and whatever stands around it, and each
-distinct line stays once. A match then needs no extension, as its neighbours are matches themselves.
+Shorter repeated runs, and what a first place in other surroundings leaves of a run, are left to a second round, the same over the
+lines that remain, with grams and windows of one word: every line with a word is a fingerprint, its first place is joined, and a
+match needs no extension, as its neighbours are matches themselves. As a line's first place is never deleted, both rounds
+together delete each line with a word that occurs at an earlier place, whatever its length and whatever stands around it, and
+each distinct line stays once.
 
 Lines are compared without white space at their ends. Each fingerprint meets the first place
 only, never all pairs of places; minima are aggregated before the shuffle, and lines that hold
-over 1 / HOT of all places meet their first place by a broadcast of at most HOT rows. With wider windows
+over 1 / HOT of all places meet their first place by a broadcast of at most HOT rows. With wide windows alone
 the extension runs at the first place only, so of a run whose surroundings differ there a part can stay.
 
 Defined results: a null text stays null and an empty one empty; lines without a word are kept
@@ -51,6 +53,8 @@ class Winnow:
         return self.gram_words <= 1 and self.window_words <= 1
 
 
+#: The rounds: runs of twenty words by windows and extension, then single lines among those that remain.
+ROUNDS = (Winnow(10, 20), Winnow())
 #: Lines with more than this share (1 / HOT) of all places are at most HOT.
 HOT = 2000
 
@@ -141,14 +145,42 @@ def _extended(sk: DataFrame, matches: DataFrame, place: Column) -> DataFrame:
     return both.select("doc.last", "doc.d", "doc.t", "raw", "lines", "lines2", "at").mapInArrow(extend, "last boolean, d long, t long, gone array<int>")
 
 
-def dedup_lines(docs: DataFrame, p: Winnow = Winnow(), *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def _round(ws: Workspace, sk: DataFrame, place: Column, p: Winnow, n_lines: int) -> DataFrame:
+    """last, d, t, gone: the lines that one round deletes, of documents sk (doc_id, th, raw, lines, pos, gram)."""
+    at, gram = ("raw", "lines") if p.single else ("pos", "gram")
+    prints = sk.select(place.alias("doc"), F.explode(F.arrays_zip(F.col(at).alias("pos"), F.col(gram).alias("gram"))).alias("f")).select("doc", F.col("f.pos").alias("pos"), F.col("f.gram").alias("gram"))
+    first = prints.groupBy("gram").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = ws.write(first, "first")
+    most = n_lines / HOT
+    hot, rest = first.filter(F.col("n") > most).select("gram", "first"), first.filter(F.col("n") <= most).select("gram", "first")
+    matches = prints.join(F.broadcast(hot), "gram").unionByName(prints.join(F.broadcast(hot.select("gram")), "gram", "left_anti").join(rest, "gram"))
+    matches = matches.filter((F.col("first.doc") != F.col("doc")) | (F.col("first.pos") != F.col("pos")))
+    if p.single:
+        return matches.select("doc.last", "doc.d", "doc.t", F.array("pos").alias("gone"))
+    return _extended(sk, matches, place)
+
+
+def _remaining(sk: DataFrame, gone: DataFrame, place: Column) -> DataFrame:
+    """sk without the lines that are gone (last, d, t, gone)."""
+    gone = gone.select(F.struct("last", "d", "t").alias("doc"), "gone")
+    rest = sk.select("*", place.alias("doc")).join(gone, "doc", "left").drop("doc")
+    kept = F.filter(F.arrays_zip("raw", "lines"), lambda x: ~F.array_contains("gone", x["raw"]))
+    rest = rest.withColumn("kept", F.when(F.col("gone").isNull(), F.arrays_zip("raw", "lines")).otherwise(kept))
+    return rest.select("doc_id", "th", F.col("kept.raw").alias("raw"), F.col("kept.lines").alias("lines"))
+
+
+def dedup_lines(docs: DataFrame, p: Winnow | tuple[Winnow, ...] = ROUNDS, *, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs, all columns as they are, but the text without later repeated runs; count_col adds the number of lines deleted.
 
     Steps: a map makes each document's line hashes and fingerprints; the first place of each
-    fingerprint is a minimum by hash; matches with an earlier place are the deleted lines, or, with
-    windows of several words, get the line hashes of both documents (no texts) and are extended to
-    them; the texts are joined once with those.
+    fingerprint is a minimum by hash; matches with an earlier place get the line hashes of both documents
+    (no texts) and are extended to the deleted lines; with windows of one word the matches are those;
+    the texts are joined once with the lines that all rounds delete. Only the first of several rounds may have windows of several words.
     """
+    rounds = p if isinstance(p, tuple) else (p,)
+    if not all(r.single for r in rounds[1:]):
+        raise ValueError("only the first round may have windows of several words")
+    p = rounds[0]
     ws = Workspace(docs.sparkSession, "lines")
     texts = text_rows(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("raw", pa.list_(pa.int32())), ("lines", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())), ("gram", pa.list_(pa.int64()))])
@@ -166,20 +198,14 @@ def dedup_lines(docs: DataFrame, p: Winnow = Winnow(), *, id_col: str = "doc_id"
     sk, seen = ws.write(texts.mapInArrow(read, "doc_id long, th long, raw array<int>, lines array<long>, pos array<int>, gram array<long>"), "lines", n=F.sum(F.size("lines")))
     # a null id counts as the largest
     place = F.named_struct(F.lit("last"), F.col("doc_id").isNull(), F.lit("d"), F.coalesce("doc_id", F.lit(0)), F.lit("t"), F.col("th"))
-    at, gram = ("raw", "lines") if p.single else ("pos", "gram")
-    prints = sk.select(place.alias("doc"), F.explode(F.arrays_zip(F.col(at).alias("pos"), F.col(gram).alias("gram"))).alias("f")).select("doc", F.col("f.pos").alias("pos"), F.col("f.gram").alias("gram"))
-    first = prints.groupBy("gram").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = ws.write(first, "first")
-    most = (seen["n"] or 0) / HOT
-    hot, rest = first.filter(F.col("n") > most).select("gram", "first"), first.filter(F.col("n") <= most).select("gram", "first")
-    matches = prints.join(F.broadcast(hot), "gram").unionByName(prints.join(F.broadcast(hot.select("gram")), "gram", "left_anti").join(rest, "gram"))
-    matches = matches.filter((F.col("first.doc") != F.col("doc")) | (F.col("first.pos") != F.col("pos")))
-    if p.single:
-        gone = matches.select("doc.last", "doc.d", "doc.t", F.array("pos").alias("gone"))
-    else:
-        gone = _extended(sk, matches, place)
+    per_doc = lambda x: x.groupBy("last", "d", "t").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    gone = per_doc(_round(ws, sk, place, p, seen["n"] or 0))
+    for r in rounds[1:]:
+        gone = ws.write(gone, "gone")
+        rest = _remaining(sk, gone, place)
+        gone = per_doc(gone.unionByName(_round(ws, rest, place, r, seen["n"] or 0)))
     names = {k: fresh(docs, f"__line_{k}") for k in ("last", "d", "t", "gone")}
-    gone = gone.groupBy("last", "d", "t").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).toDF(*names.values())
+    gone = gone.toDF(*names.values())
     ident = F.col(id_col).cast("long")
     text = F.col(text_col).cast("string")
     on = (ident.isNull() == F.col(names["last"])) & (F.coalesce(ident, F.lit(0)) == F.col(names["d"])) & (F.xxhash64(text) == F.col(names["t"]))

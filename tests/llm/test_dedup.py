@@ -211,6 +211,20 @@ def test_every_repeated_line_goes(spark):
         assert got[d] == "\n".join(want)
 
 
+def test_long_runs_go_by_windows_and_extension(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = [" ".join(rng.choices("abcdefghijkl", k=rng.randint(3, 7))) + f" p{i}" for i in range(40)]
+    docs = [(i, "\n".join([f"own {i}", *passage, f"end {i}", "short"])) for i in range(5)]
+    found, extended = [], line_dedup._extended
+    monkeypatch.setattr(line_dedup, "_extended", lambda sk, matches, place: found.append((matches.count(), out := extended(sk, matches, place))) or out)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: docs[0][1]} | {i: f"own {i}\nend {i}" for i in range(1, 5)}
+    ((n, gone),) = found
+    # fewer fingerprints than lines, and the extension deletes the whole run
+    assert 0 < n < 4 * 40
+    assert {(r.d, i) for r in gone.collect() for i in r.gone} == {(d, i) for d in range(1, 5) for i in range(1, 41)}
+
+
 def brute_vectors(vectors):
     ok = {i: np.array(v, float) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     pairs = [(a, b) for a, b in itertools.combinations(ok, 2) if ok[a] @ ok[b] / np.sqrt((ok[a] @ ok[a]) * (ok[b] @ ok[b])) >= 0.9]
