@@ -70,7 +70,7 @@ def test_passages_of_few_words_are_found(spark, tmp_path):
     assert got == {(i, j, t.count(p)) for i, t in enumerate(texts) for j, p in enumerate(passages) if p in t}
 
 
-@pytest.mark.parametrize("name", ["g10_a4_mask_groups", "g10_a6_skipped"])
+@pytest.mark.parametrize("name", ["g10_a4_mask_groups", "g10_a6_skipped", "r1_masked_text"])
 def test_plans_equal_their_sql_where_a_private_address_looks_like_an_insurance_number(spark, tmp_path, name):
     spark.createDataFrame([(25432,), (10300,), (8,)], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     c = duckdb.connect()
