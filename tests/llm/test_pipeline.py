@@ -93,3 +93,13 @@ def test_stages_take_nulls_and_empty_tables(spark):
     for df in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, df, DATA).collect()
+
+
+def test_lines_of_the_pipeline_go_by_windows_and_extension(spark, monkeypatch):
+    passage = [f"line {i} of a passage that stands in two documents" for i in range(30)]
+    docs = [(i, "\n".join([f"own {i}", *passage, f"end {i}"]), "en", "s", 0) for i in range(2)]
+    called, extended = [], line_dedup._extended
+    monkeypatch.setattr(line_dedup, "_extended", lambda sk, matches, place: called.append(matches.count()) or extended(sk, matches, place))
+    out = corpus_pipeline.line_deduplication(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert {r.doc_id: r.text for r in out.collect()} == {0: docs[0][1], 1: "own 1\nend 1"}
+    assert len(called) == 1 and 0 < called[0] < len(passage)
