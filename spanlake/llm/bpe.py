@@ -32,7 +32,7 @@ from .common import slices, text_rows
 ROUNDS = 64
 #: A row is a token: k names its piece (upper half) and position, nk its next token's, id and nid the two ids, m the rank of the
 #: pair they form (the merged token's id). A round contracts, in every piece that has a pair, all places of its least rank
-#: that don't share a token, from the left, so rounds grow with the number of ranks, not with the length. That is the same
+#: that don't share a token, from the left (only places that share one are put in order), so rounds grow with the number of ranks, not with the length. That is the same
 #: as one leftmost place after another unless a pair that arises meanwhile has a lower rank: in such a piece (odd) the round
 #: contracts the leftmost place only (early: the merges of a lower rank than one of their parts). The rows of a piece's last round are its tokens.
 STEP = f"""
@@ -42,8 +42,11 @@ WITH RECURSIVE t(step, k, nk, id, nid, m) AS (
   UNION ALL
   (WITH least AS MATERIALIZED (SELECT k >> 32 AS w, min(m) AS low FROM t WHERE m IS NOT NULL AND step < {ROUNDS} GROUP BY 1),
    hit AS (SELECT k, nk, low FROM t JOIN least ON w = k >> 32 AND m = low),
-   chain AS (SELECT *, sum(fresh) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(nk) OVER (ORDER BY k) = k THEN 0 ELSE 1 END AS fresh FROM hit)),
-   pick AS MATERIALIZED (SELECT k, nk, low FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) AS j FROM chain) WHERE j % 2 = 1),
+   shared AS MATERIALIZED (SELECT a.nk AS k FROM hit a SEMI JOIN hit b ON b.k = a.nk),
+   chain AS (SELECT *, sum(fresh) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(nk) OVER (ORDER BY k) = k THEN 0 ELSE 1 END AS fresh
+             FROM hit WHERE k IN (SELECT k FROM shared) OR nk IN (SELECT k FROM shared))),
+   pick AS MATERIALIZED (SELECT k, nk, low FROM hit WHERE k NOT IN (SELECT k FROM shared) AND nk NOT IN (SELECT k FROM shared)
+                         UNION ALL SELECT k, nk, low FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) AS j FROM chain) WHERE j % 2 = 1),
    pair AS MATERIALIZED (SELECT pick.*, n.nk AS nk2, n.nid AS nid2, p.id AS pid, q.k IS NOT NULL AS beside
                          FROM pick JOIN t n ON n.k = pick.nk LEFT JOIN t p ON p.nk = pick.k LEFT JOIN pick q ON q.k = n.nk),
    odd AS (SELECT f.w, min(first) AS first FROM pair JOIN (SELECT k >> 32 AS w, min(k) AS first FROM pair GROUP BY 1) f ON f.w = pair.k >> 32
@@ -51,7 +54,7 @@ WITH RECURSIVE t(step, k, nk, id, nid, m) AS (
            WHERE a.m < low OR b.m < low OR beside AND c.m < low GROUP BY 1),
    used AS MATERIALIZED (SELECT pair.* FROM pair LEFT JOIN odd ON odd.w = k >> 32 WHERE odd.w IS NULL OR k = first),
    kept AS (SELECT t.step + 1 AS step, t.k, coalesce(u.nk2, t.nk) AS nk, coalesce(u.low, t.id) AS id, CASE WHEN u.k IS NULL THEN t.nid ELSE u.nid2 END AS nid
-            FROM t JOIN least ON w = t.k >> 32 LEFT JOIN used u ON u.k = t.k WHERE t.k NOT IN (SELECT nk FROM used)),
+            FROM (SELECT t.* FROM t ANTI JOIN used z ON z.nk = t.k) t JOIN least ON w = t.k >> 32 LEFT JOIN used u ON u.k = t.k),
    new AS (SELECT step, kept.k, kept.nk, kept.id, coalesce(x.low, nid) AS nid FROM kept LEFT JOIN used x ON x.k = kept.nk)
    SELECT step, k, nk, id, nid, merges.m FROM new LEFT JOIN merges ON l = id AND r = nid))
 SELECT w, k, nk, id, nid, m FROM (SELECT k >> 32 AS w, * FROM t) JOIN (SELECT k >> 32 AS w, max(step) AS step FROM t GROUP BY 1) USING (w, step)

@@ -284,6 +284,17 @@ def test_pii_is_a_permutation(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").collect() == []
 
 
+def test_bpe_takes_places_that_share_a_token_from_the_left():
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [x * n + y for x in ("a", "ab", "aba", "zq", "é") for n in (1, 2, 3, 8, 31) for y in ("", "x", "ab")]
+    # one batch, so pieces with and without such places meet in one round
+    assert bpe.PieceCoder(ranks, P.PATTERN).encoded(texts) == [",".join(map(str, enc.encode_ordinary(t))) for t in texts]
+
+
 def test_bpe_equals_tiktoken(spark, weird):
     import public_tokenizers as P
     import tiktoken
