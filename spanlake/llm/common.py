@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -83,8 +84,10 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts have at most about `most` bytes; a longer text is a run of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    """The batch in runs of rows whose texts (or lists, of eight bytes an item) have at most about `most` bytes; a longer one is a run of its own."""
+    own = batch.column(column)
+    sizes = pc.multiply(pc.list_value_length(own), 8) if pa.types.is_list(own.type) else pc.binary_length(own)
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(sizes)])
     at = 0
     while at < batch.num_rows:
@@ -93,6 +96,24 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
         at = end
 
 
+def small_slices(batches, column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in runs as of `slices`; what the worker freed goes back to the system between batches and at the end,
+    as a worker that waits for its next task keeps its memory."""
+    for whole in batches:
+        yield from slices(whole, column, most)
+        del whole
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory of this process, of Arrow's pool and of the allocator, goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        return
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table does not have."""
     names = {c.lower() for c in df.columns}

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, mix64, text_rows
+from .common import Workspace, fresh, mix64, small_slices, text_rows
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,7 @@ def _extended(sk: DataFrame, matches: DataFrame, place: Column) -> DataFrame:
     found_schema = pa.schema([("last", pa.bool_()), ("d", pa.int64()), ("t", pa.int64()), ("gone", pa.list_(pa.int32()))])
 
     def extend(batches):
-        for b in batches:
+        for b in small_slices(batches, "lines2"):
             last, d, t, raw, lines, lines2, at = (b.column(c).to_pylist() for c in ("last", "d", "t", "raw", "lines", "lines2", "at"))
             gone = [[r[i] for i in deleted_positions(x, y, [(m["pos"], m["pos2"]) for m in ms])] for r, x, y, ms in zip(raw, lines, lines2, at)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((last, d, t, gone), found_schema)], schema=found_schema)
@@ -186,7 +186,7 @@ def dedup_lines(docs: DataFrame, p: Winnow | tuple[Winnow, ...] = ROUNDS, *, id_
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("raw", pa.list_(pa.int32())), ("lines", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32())), ("gram", pa.list_(pa.int64()))])
 
     def read(batches):
-        for b in batches:
+        for b in small_slices(batches):
             out = []
             for doc, t, th in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "th"))):
                 if lines := content_lines(t):

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, fresh, mix64, text_rows
+from .common import Workspace, fresh, mix64, small_slices, text_rows
 from .components import connected_components, extended_components
 
 
@@ -62,6 +62,8 @@ def _permute32(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
+#: Words whose hashes a task remembers.
+KNOWN = 150_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -75,7 +77,7 @@ def shingle_hashes(words: list[bytes], size: int, known: dict[bytes, int]) -> np
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    if len(known) > 500_000:
+    if len(known) > KNOWN:
         known.clear()
     for w in words:
         if w not in known:
@@ -121,7 +123,7 @@ def sketch(texts: DataFrame, p: NearDup) -> DataFrame:
     def run(batches):
         known: dict[bytes, int] = {}
         done: OrderedDict = OrderedDict()  # classes met lately: copies are not signed again
-        for whole in batches:
+        for whole in small_slices(batches):
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 rows = [split_words(t) for t in b.column("text").to_pylist()]
@@ -147,7 +149,7 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, p: NearDup) -> DataFrame:
 
     def run(batches):
         known: dict[bytes, int] = {}
-        for whole in batches:
+        for whole in small_slices(batches):
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 ids, sets = [], []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_rows
+from .common import crc_mod, small_slices, text_rows
 
 FEATURES = ("log_words", "word_len", "upper", "digits", "symbols", "exclaims", "pipes", "other_punct", "end_punct", "line_words", "dup_lines", "distinct_words", "top_word", "adjacent_same", "short_words", "capital_words", "bad_line_ends", "letters")
 _upper = bytes(range(65, 91))
@@ -183,7 +183,7 @@ def _map_features(texts: DataFrame, keep: str, kind: pa.DataType, ddl: str) -> D
     schema = pa.schema([(keep, kind), ("x", pa.list_(pa.float64()))])
 
     def run(batches):
-        for b in batches:
+        for b in small_slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(keep), pa.array([features(t or "") for t in b.column("text").to_pylist()], pa.list_(pa.float64()))], schema=schema)
 
     return texts.mapInArrow(run, f"{keep} {ddl}, x array<double>")
@@ -204,7 +204,7 @@ def score(docs: DataFrame, model: Gam, *, folds: int = 3, fold: int = 1) -> Data
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(batches):
-        for b in batches:
+        for b in small_slices(batches):
             x = np.array([features(t or "") for t in b.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             p = model.score(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype("int32"))], schema=schema)
@@ -215,13 +215,14 @@ def score(docs: DataFrame, model: Gam, *, folds: int = 3, fold: int = 1) -> Data
 
 def keep_good(docs: DataFrame, model: Gam, *, least: float = 0.5) -> DataFrame:
     """The rows of docs whose score is at least `least`, all columns unchanged; a map over the rows."""
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
-    @pandas_udf("boolean")
-    def good(texts):
-        import pandas as pd
-
-        x = np.array([features(t or "") for t in texts]).reshape(-1, len(FEATURES))
-        return pd.Series(model.score(x) >= least)
+    @arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        kept = []
+        for b in small_slices([pa.RecordBatch.from_arrays([texts], ["text"])]):
+            x = np.array([features(t or "") for t in b.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+            kept.extend((model.score(x) >= least).tolist())
+        return pa.array(kept, pa.bool_())
 
     return docs.filter(good(F.col("text").cast("string")))

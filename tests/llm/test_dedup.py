@@ -271,3 +271,17 @@ def test_vectors_of_several_lengths(spark):
     for n in (8, 16):
         want |= brute_vectors([r for r in rows if len(r[1]) == n])
     assert got == want
+
+
+def test_maps_read_bounded_runs_of_texts_and_lists():
+    import pyarrow as pa
+
+    from spanlake.llm.common import small_slices
+
+    texts = [None, "", "x" * 700, "y" * 5000, *["z" * 400] * 9]
+    lists = [None, [], list(range(90)), list(range(900)), *[[1] * 50] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(lists, pa.list_(pa.int64()))], ["text", "lines"])
+    for column, rows, size in (("text", texts, 1), ("lines", lists, 8)):
+        got = [b.column(column).to_pylist() for b in small_slices([batch, batch.slice(0, 0)], column, 1000)]
+        assert [x for run in got for x in run] == rows
+        assert all(len(run) == 1 or sum(size * len(x or "") for x in run) <= 1000 for run in got)
