@@ -12,18 +12,23 @@ smoothly with the number of pages, at every size and depth alike. Of a page's ow
 (1 - 0.9^l) * presentation + 0.9^l * the mean of the parts' importances weighted by their text, with l layouts; of a leaf it is
 its content. A branch goes from the page if its importance and that of every part of it with text is below the threshold.
 
-What no counting can tell is told by marks: menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts,
-styles and reader comments that the page itself declares, by tag, by role, or by a class or id whose words all name such a
-part (`ad-box`, `comment-list`; not `share-price`, `related-work` or `notice-period`). Paragraphs and headings inside an
-article or main element always stay, with all that they stand in, and inline elements go only with their block. Where a page
-has such an element, loose boxes and text outside it start from a prior below the threshold: they stay only where the tree
-finds them different from page to page; paragraphs and headings outside it start above.
+Marks are a prior of the tree. Menus, headers and footers of the page, sidebars, notices, adverts, forms and reader comments
+that the page itself declares, by tag, by role, or by a class or id whose words all name such a part (`ad-box`, `comment-list`;
+not `share-price`, `related-work` or `notice-period`), are nodes as all others and counted as they are, but start from a prior of
+0 that counts for `declared_pages` pages. A declared branch is judged by itself: nothing of it goes into the importance of what
+it stands in. An exact check follows: a declared branch that the tree leaves, as its text differs from page to page (reader
+comments, adverts in turn), goes by its mark. Scripts, styles and the page's head have no text that a reader sees and are no nodes.
+
+Paragraphs and headings inside an article or main element always stay, with all that they stand in, and inline elements go only
+with their block unless declared. Where a page has such an element, loose boxes and text outside it start from a prior below the
+threshold: they stay only where the tree finds them different from page to page; paragraphs and headings outside it start above.
 
 Defined results: a null or empty html, and a page without text, give an empty text; a null or odd url is of the host ''; a null
 id is carried through; equal pages count once in the tree and give equal texts, so repeated rows do; an importance equal to the
-threshold stays; no text is dropped but by a mark or a removed branch, whatever the length of the page or the depth of its
-elements (a page is one row of one task); unclosed and wrongly nested tags are repaired as browsers do for paragraphs, list
-items and table parts; other columns of the input, whatever their names, are not read; an empty table gives an empty table.
+threshold stays; no text is dropped but with a branch that the tree or the check removes, whatever the length of the page or the
+depth of its elements (a page is one row of one task); unclosed and wrongly nested tags are repaired as browsers do for
+paragraphs, list items and table parts; other columns of the input, whatever their names, are not read; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -42,18 +47,24 @@ from .common import Workspace
 
 @dataclass(frozen=True)
 class StyleTree:
-    """prior_pages: how many pages the prior of a node counts for; marks: heed what the page declares; threshold 0 switches the tree off."""
+    """prior_pages, declared_pages: how many pages the prior of a node, and of a declared one, counts for; marks: heed what the page declares; check: what it declares goes even where the tree leaves it; threshold 0 switches the tree off."""
 
     threshold: float = 0.6
     prior_pages: int = 8
+    declared_pages: int = 64
     marks: bool = True
+    check: bool = True
 
 
 #: Weight of a node's parts against its presentation, to the power of the number of its layouts.
 DAMP = 0.9
-#: Kinds of a node of a branch: part of its block, block, loose paragraph or heading, other loose text; and the prior of each.
-PART, BOX, LOOSE_PROSE, LOOSE = range(4)
-PRIOR = (1.0, 1.0, 0.75, 0.4)
+#: Kinds of a node of a branch: part of its block, block, loose paragraph or heading, other loose text, declared to be no main text; and the prior of each.
+PART, BOX, LOOSE_PROSE, LOOSE, DECLARED = range(5)
+PRIOR = (1.0, 1.0, 0.75, 0.4, 0.0)
+#: What the tree holds of a node of one page only: pages, presentation, content, layouts.
+ALONE = (1, None, None, 1)
+#: Up to so many nodes of several pages the tree goes to the tasks; a larger one meets the pages in joins.
+NODES_AT_ONCE = 50_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noframes".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
@@ -121,9 +132,9 @@ def _marks(tag: str, attrs: str) -> tuple[str, bool]:
     return name, noise
 
 
-def parse(source: str) -> Node:
-    """The page as a tree of nodes."""
-    top = Node("", "", 0, None, False, False, "", [])
+def parse(source: str, host: str = "") -> Node:
+    """The page as a tree of nodes; equal paths of different hosts have different keys."""
+    top = Node("", "", xxhash.xxh3_64_intdigest(host), None, False, False, "", [])
     at, pos, end = top, 0, len(source)
     open_tags: dict[str, int] = {}
 
@@ -192,14 +203,15 @@ def _walk(node: Node, marks: bool = True):
     stack = [node]
     while stack:
         n = stack.pop()
-        if _dropped(n, marks):
+        if _unseen(n) or marks and n.noise:
             continue
         yield n
         stack.extend(p for p in n.parts if not isinstance(p, str))
 
 
-def _dropped(n: Node, marks: bool) -> bool:
-    return n.noise and (marks or n.tag in RAW or n.tag in ("head", "title"))
+def _unseen(n: Node) -> bool:
+    """Has the node no text of the page's body?"""
+    return n.noise and (n.tag in RAW or n.tag in ("head", "title"))
 
 
 def _prose(top: Node, marks: bool) -> set[int]:
@@ -251,9 +263,21 @@ def describe(top: Node, marks: bool = True) -> Page:
     layouts: list[str] = []
     refs: list[list[str]] = []
     pieces: list[list[str]] = []
-    fresh = True
+    inner: list[bool] = []
+    # parts of a declared inline element: blocks in it are no ends of the block around it, only gaps of its own text
+    within: list[bool] = []
+    fresh, gap = True, False
+
+    def ends_block(rec: int) -> None:
+        nonlocal fresh, gap
+        if rec >= 0 and within[rec]:
+            gap = True
+        else:
+            fresh = True
 
-    def record(key: int, up: int, kind: int, layout: str) -> int:
+    def record(key: int, up: int, kind: int, layout: str, inline: bool = False) -> int:
+        within.append(up >= 0 and inner[up] and within[up] or kind == DECLARED and inline and not (up >= 0 and inner[up]))
+        inner.append(_declared(inner, up, kind))
         for column, value in ((out.key, _signed(key)), (out.up, up), (out.kind, kind), (texts, []), (layouts, layout), (refs, [])):
             column.append(value)
         return len(out.key) - 1
@@ -264,20 +288,21 @@ def describe(top: Node, marks: bool = True) -> Page:
             return None
         return BOX if n.inside or not articles else LOOSE_PROSE if n.tag in PROSE else LOOSE
 
-    # (node, the record around it), (text, record) or None at a block's end
+    # (node, the record around it), (text, record) or, at a block's end, (None, record)
     stack: list = [(top, -1)]
     while stack:
-        item = stack.pop()
-        if item is None:
-            fresh = True
+        n, rec = stack.pop()
+        if n is None:
+            ends_block(rec)
             continue
-        n, rec = item
         if isinstance(n, str):
             own = _space.sub(" ", n)
             if rec >= 0:
                 texts[rec].append(own)
             if fresh and own == " ":
                 continue
+            if rec >= 0 and within[rec] and gap:
+                own, gap = f" {own}", False
             if not fresh and out.at[-1] == rec:
                 pieces[-1].append(own)
             else:
@@ -286,23 +311,25 @@ def describe(top: Node, marks: bool = True) -> Page:
                 pieces.append([own])
             fresh = False
             continue
-        if _dropped(n, marks):
-            fresh = fresh or n.tag in BLOCK
+        if _unseen(n):
+            if n.tag in BLOCK:
+                ends_block(rec)
             continue
         if n.tag in VOID:
-            fresh = fresh or n.tag in BLOCK
+            if n.tag in BLOCK:
+                ends_block(rec)
             if rec >= 0 and n.ref:
                 refs[rec].append(f"img {n.ref}")
             continue
-        kind = kind_of(n)
+        kind = DECLARED if marks and n.noise else None if rec >= 0 and inner[rec] else kind_of(n)
         if kind is not None or rec >= 0:
             kids = " ".join(p.name for p in n.parts if not isinstance(p, str) and p.tag not in VOID)
-            rec = record(n.key, rec, PART if kind is None else kind, kids)
+            rec = record(n.key, rec, PART if kind is None else kind, kids, n.tag not in BLOCK)
             if n.ref:
                 refs[rec].append(f"a {n.ref}")
         if n.tag in BLOCK:
-            fresh = True
-            stack.append(None)
+            ends_block(rec)
+            stack.append((None, rec))
         loose = -1
         for p in reversed(n.parts):
             if isinstance(p, str):
@@ -328,37 +355,50 @@ def describe(top: Node, marks: bool = True) -> Page:
     return out
 
 
+def _declared(inner: list[bool], up: int, kind: int) -> bool:
+    """Is a node declared to be no main text, or part of such a one? inner: the same of the nodes before it."""
+    return kind == DECLARED or kind == PART and up >= 0 and inner[up]
+
+
+def _with_parts(up: list[int], out: list[bool]) -> list[bool]:
+    for i in range(len(up)):
+        out[i] = out[i] or up[i] >= 0 and out[up[i]]
+    return out
+
+
 def removed(up: list[int], kind: list[int], mass: list[int], facts: list[tuple], p: StyleTree) -> list[bool]:
     """For each node of a page whether it goes. facts of a node: (m, presentation, content, layouts) of the host's tree."""
 
-    def smooth(x: float | None, m: int, prior: float) -> float:
-        return prior if x is None else (p.prior_pages * prior + (m - 1) * x) / (p.prior_pages + m - 1)
+    def smooth(x: float | None, m: int, prior: float, pages: int) -> float:
+        return prior if x is None else (pages * prior + (m - 1) * x) / (pages + m - 1)
 
     n = len(up)
     prior = [0.0] * n
+    inner: list[bool] = []
     for i in range(n):
+        inner.append(_declared(inner, up[i], kind[i]))
         prior[i] = prior[up[i]] if kind[i] == PART and up[i] >= 0 else PRIOR[kind[i]]
     weight, total, parts, noisy = [0] * n, [0.0] * n, [False] * n, [True] * n
     out = [False] * n
     for i in range(n - 1, -1, -1):  # parts before what they stand in
         m, look, content, layouts = facts[i]
-        total[i] += mass[i] * smooth(content, m, prior[i])
+        pages = p.declared_pages if inner[i] else p.prior_pages
+        total[i] += mass[i] * smooth(content, m, prior[i], pages)
         weight[i] += mass[i]
         value = total[i] / weight[i] if weight[i] else 1.0
         if parts[i] and weight[i]:
             damp = DAMP**layouts
-            value = (1 - damp) * smooth(look, m, 1.0) + damp * value
+            value = (1 - damp) * smooth(look, m, 0.0 if inner[i] else 1.0, pages) + damp * value
         if weight[i]:
             noisy[i] = noisy[i] and value < p.threshold
             out[i] = noisy[i] and kind[i] != PART
-        if up[i] >= 0:
+        out[i] = out[i] or p.check and kind[i] == DECLARED
+        if up[i] >= 0 and inner[i] == inner[up[i]]:
             parts[up[i]] = True
             total[up[i]] += value * weight[i]
             weight[up[i]] += weight[i]
             noisy[up[i]] = noisy[up[i]] and noisy[i]
-    for i in range(n):
-        out[i] = out[i] or up[i] >= 0 and out[up[i]]
-    return out
+    return _with_parts(up, out)
 
 
 def joined(at: list[int], block: list[bool], text: list[str], gone: list[bool]) -> str:
@@ -379,7 +419,7 @@ def joined(at: list[int], block: list[bool], text: list[str], gone: list[bool])
 def main_text(top: Node, gone=frozenset()) -> str:
     """The page's text without what its marks say, and without the nodes (by their number) that are gone."""
     page = describe(top)
-    return joined(page.at, page.block, page.text, [i in gone for i in range(len(page.key))])
+    return joined(page.at, page.block, page.text, _with_parts(page.up, [i in gone or k == DECLARED for i, k in enumerate(page.kind)]))
 
 
 def host_of(url: Column) -> Column:
@@ -387,10 +427,10 @@ def host_of(url: Column) -> Column:
 
 
 PARSED = pa.schema([
-    ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.list_(pa.int64())), ("up", pa.list_(pa.int32())), ("kind", pa.list_(pa.int8())), ("mass", pa.list_(pa.int32())),
+    ("page_id", pa.int64()), ("url", pa.string()), ("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.list_(pa.int64())), ("up", pa.list_(pa.int32())), ("kind", pa.list_(pa.int8())), ("mass", pa.list_(pa.int32())),
     ("at", pa.list_(pa.int32())), ("block", pa.list_(pa.bool_())), ("text", pa.list_(pa.string())), ("node", pa.list_(pa.int64())), ("what", pa.list_(pa.int8())), ("value", pa.list_(pa.int64())),
 ])
-PARSED_DDL = "page_id long, url string, host string, h1 long, h2 long, key array<long>, up array<int>, kind array<byte>, mass array<int>, at array<int>, block array<boolean>, text array<string>, node array<long>, what array<byte>, value array<long>"
+PARSED_DDL = "page_id long, url string, h1 long, h2 long, key array<long>, up array<int>, kind array<byte>, mass array<int>, at array<int>, block array<boolean>, text array<string>, node array<long>, what array<byte>, value array<long>"
 
 
 def parsed(pages: DataFrame, marks: bool = True) -> DataFrame:
@@ -403,9 +443,9 @@ def parsed(pages: DataFrame, marks: bool = True) -> DataFrame:
                 rows = []
                 for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
                     d = xxhash.xxh3_128_intdigest(f"{host}\0{source or ''}")
-                    x = describe(parse(source or ""), marks)
+                    x = describe(parse(source or "", host), marks)
                     rows.append((_signed(d >> 64), _signed(d & (1 << 64) - 1), x.key, x.up, x.kind, x.mass, x.at, x.block, x.text, *([f[i] for f in x.facts] for i in range(3))))
-                columns = [b.column("page_id"), b.column("url"), b.column("host"), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(PARSED)[3:]))]
+                columns = [b.column("page_id"), b.column("url"), *(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(PARSED)[2:]))]
                 yield pa.RecordBatch.from_arrays(columns, schema=PARSED)
 
     return pages.select("page_id", "url", "host", "html").mapInArrow(run, PARSED_DDL)
@@ -423,44 +463,55 @@ def style_tree(facts: DataFrame) -> DataFrame:
     return sums.select("node", "m", several(1 - F.col("mlogm") / (m * F.log(m))).alias("look"), several(F.when(F.col("occ") > 0, 1 - F.col("tlogn") / (F.col("occ") * F.log(m)))).alias("content"), "layouts")
 
 
-def _page_facts(ws: Workspace, table: DataFrame) -> DataFrame:
-    """h1, h2, facts (of the host's tree, in the order of the page's nodes) of all different pages with nodes."""
-    one = F.first(F.struct("host", "key", "node", "what", "value")).alias("x")
-    pages = ws.write(table.filter(F.size("key") > 0).groupBy("h1", "h2").agg(one).select("h1", "h2", "x.*"), "nodes")
-    rows = pages.select("host", F.explode(F.arrays_zip("node", "what", "value")).alias("f"))
-    facts = rows.groupBy(F.xxhash64("host", "f.node").alias("node"), F.col("f.what").alias("what"), F.col("f.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    tree = ws.write(style_tree(ws.write(facts, "facts")), "tree")
-    asked = pages.select("h1", "h2", "host", F.posexplode("key").alias("i", "k")).select("h1", "h2", "i", F.xxhash64("host", "k").alias("node"))
+def _tree(ws: Workspace, table: DataFrame) -> tuple[DataFrame, int]:
+    """The tree over all different pages with nodes, without nodes of one page (ALONE); and the number of its nodes."""
+    pages = table.filter(F.size("key") > 0).select("h1", "h2", "node", "what", "value").dropDuplicates(["h1", "h2"])
+    facts = pages.select(F.explode(F.arrays_zip("node", "what", "value")).alias("f")).groupBy("f.node", "f.what", "f.value").agg(F.count(F.lit(1)).alias("n"))
+    tree, seen = ws.write(style_tree(facts).filter("m > 1"), "tree", nodes=F.count(F.lit(1)))
+    return tree, seen["nodes"] or 0
+
+
+def _page_facts(ws: Workspace, table: DataFrame, tree: DataFrame) -> DataFrame:
+    """h1, h2, facts (the tree's, of the page's nodes by their numbers, without nodes of one page) of all different pages with nodes."""
+    asked = table.filter(F.size("key") > 0).select("h1", "h2", "key").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.posexplode("key").alias("i", "node"))
     # most nodes of a large host are met by each of its pages
     known = asked.join(tree, "node")
-    return ws.write(known.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("i", "m", "look", "content", "layouts"))).alias("facts")), "page-facts")
+    return ws.write(known.groupBy("h1", "h2").agg(F.collect_list(F.struct("i", "m", "look", "content", "layouts")).alias("facts")), "page-facts")
 
 
-def extract(pages: DataFrame, p: StyleTree = StyleTree(), *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, p: StyleTree = StyleTree(), *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", nodes_at_once: int = NODES_AT_ONCE) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    Each page is parsed once into a written table; the tree is counted from the facts of its different pages and written; its
-    values go back to the nodes, and then to the pages, by joins of written tables, so adaptive execution broadcasts small ones
-    and deals a node of very many pages, or a page with very many copies, to several tasks.
+    Each page is parsed once into a written table; the tree is counted from the facts of its different pages and written. A tree
+    of at most `nodes_at_once` nodes goes to the tasks that read the written pages, so no text is shuffled. The values of a
+    larger one go back to the nodes, and then to the pages, by joins of written tables, so adaptive execution deals a node of
+    very many pages, or a page with very many copies, to several tasks.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     ws = Workspace(pages.sparkSession, "html")
     table, seen = ws.write(parsed(own.withColumn("host", host_of(F.col("url"))), p.marks), "pages", judged=F.count_if(F.size("key") > 0))
-    parts = ["page_id", "url", "up", "kind", "mass", "at", "block", "text"]
-    plain = table.filter(F.size("key") == 0) if seen["judged"] else table
-    ready = plain.select(*parts, F.lit(None).cast("array<struct<i:int,m:bigint,look:double,content:double,layouts:int>>").alias("facts"))
-    if seen["judged"]:
-        judged = table.filter(F.size("key") > 0).select("h1", "h2", *parts).join(_page_facts(ws, table), ["h1", "h2"])
-        ready = ready.unionByName(judged.select(*parts, "facts"))
+    tree, nodes = _tree(ws, table) if seen["judged"] else (None, 0)
+    of_node: dict[int, tuple] = {}
+    parts = ["page_id", "url", "key", "up", "kind", "mass", "at", "block", "text"]
+    ready = table.select(*parts)
+    if nodes > nodes_at_once:
+        ready = table.select("h1", "h2", *parts).join(_page_facts(ws, table, tree), ["h1", "h2"], "left").select(*parts, "facts")
+    elif nodes:
+        of_node = {r[0]: tuple(r)[1:] for r in tree.select("node", "m", "look", "content", "layouts").collect()}
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches):
-        for b in batches:
-            texts = []
-            for up, kind, mass, at, block, text, facts in zip(*(b.column(c).to_pylist() for c in (*parts[2:], "facts"))):
-                gone = removed(up, kind, mass, [(f["m"], f["look"], f["content"], f["layouts"]) for f in facts], p) if facts else []
-                texts.append(joined(at, block, text, gone))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], schema=schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 200):
+                b = whole.slice(start, 200)
+                joins = b.column("facts").to_pylist() if "facts" in b.schema.names else [None] * b.num_rows
+                texts = []
+                for key, up, kind, mass, at, block, text, met in zip(*(b.column(c).to_pylist() for c in parts[2:]), joins):
+                    facts = [of_node.get(k, ALONE) for k in key]
+                    for f in met or ():
+                        facts[f["i"]] = (f["m"], f["look"], f["content"], f["layouts"])
+                    texts.append(joined(at, block, text, removed(up, kind, mass, facts, p)))
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], schema=schema)
 
     out = ready.mapInArrow(run, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -522,6 +522,42 @@ def test_html_keeps_classes_that_name_no_part_of_a_site(spark):
     assert got.text == "Before. Text. Up. Others. Three months. So. After." and got.page_id is None
 
 
+def declared_pages(n):
+    """Pages of a host whose menu, advert and footer are much the same on all, and whose reader comments are not."""
+    rng = random.Random(13)
+    words = lambda k: " ".join(f"u{rng.randrange(10**9)}" for _ in range(k))
+    rows, truth = [], []
+    for i in range(n):
+        own, said = [words(9), words(4)], words(6)
+        menu = "".join(f"<li><a href=/{k}>go {k}</a></li>" for k in rng.sample(range(9), 6))
+        rows.append((i, "http://h/", f"<html><head><title>t</title><style>s</style></head><body><nav><ul>{menu}</ul></nav><div class=ad>Offer {i % 4}</div><article><p>{own[0]}</p><form>Your <b>mail</b></form><p>{own[1]}</p></article><section class=comments><p>{said}</p></section><footer>All of h</footer><script>x</script></body></html>"))
+        truth.append((" ".join(own), said))
+    return rows, truth
+
+
+def test_html_counts_declared_parts_in_the_tree(spark):
+    rows, truth = declared_pages(150)
+    page = html_extract.describe(html_extract.parse(rows[0][2]))
+    # menu, list, six items and links, advert, form and its word, comments and paragraph, footer; the menu's links are features
+    assert len(page.key) == 20 and page.kind.count(html_extract.DECLARED) == 5 and len({k for k, _, _ in page.facts}) == 10
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda *a, **k: [r.text for r in sorted(html_extract.extract(df, *a, **k).collect())]
+    # the tree itself takes what the pages share, whatever declares it, and leaves the comments; the check takes those
+    assert texts(html_extract.StyleTree(check=False)) == [f"{own} {said}" for own, said in truth]
+    assert texts() == texts(nodes_at_once=0) == [own for own, _ in truth]
+    # without the tree and the check all of the body's text stays, in page order
+    whole = texts(html_extract.StyleTree(threshold=0.0, check=False))
+    assert len(whole) == 150 and all(x.startswith("go ") and f"Offer {i % 4} {own[:9]}" in x and "Your mail" in x and x.endswith(f"{said} All of h") for i, (x, (own, said)) in enumerate(zip(whole, truth)))
+    assert texts(html_extract.StyleTree(threshold=0.0)) == [own for own, _ in truth]
+
+
+def test_html_judges_a_declared_branch_by_itself(spark):
+    """Neither a long advert nor differing comments change the verdict on what they stand in; an inline one ends no block."""
+    html = "<body><div class=a>own{i} text<div class=ad>{ad}</div></div><div class=b>Leave a reply<div class=comments>said{i}</div></div><p>left<span class=ad>x<br>y</span>{i}</p></body>"
+    df = spark.createDataFrame([(i, "http://h/", html.format(i=i, ad="buy more " * 30)) for i in range(120)], "page_id long, url string, html string")
+    assert all(r.text == f"own{r.page_id} text left{r.page_id}" for r in html_extract.extract(df).collect())
+
+
 def test_pii_finds_a_card_beside_short_numbers(spark):
     card = "4111 1111 1111 1111"
     near = [f"card {card} 12/27", "4111111111111111 123", "12 4111111111111111", f"7 {card} 9", "4111-1111-1111-1111-12"]
