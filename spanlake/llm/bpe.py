@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries inside each partition.
 
 A text is cut into pieces by the tokenizer's pattern. Each batch hands its distinct new pieces to
-DuckDB as rows (piece, position, token) of single bytes. A recursive query joins neighbouring
-tokens with the merge table and contracts each piece's leftmost pairs of least rank, until no
+DuckDB as rows (piece, tokens), the tokens being single bytes first. A recursive query joins all
+neighbouring tokens with the merge table and contracts each piece's pairs of least rank, until no
 piece has a pair left; pieces of all lengths go the same way. The ids of a bounded number of
 recent pieces are remembered by the worker. Decoding is an ordered aggregation of the tokens'
 bytes over each document's ids.
@@ -12,8 +12,9 @@ is that token.
 
 Defined results: a null or empty text has no token (its digests are those of empty strings);
 equal texts have equal results, so repeated rows do; a null id is carried through; a very long text is one row of one task,
-and a very long piece takes rounds by its ranks, in bounded memory beyond which the worker's temporary folder is used; other
-columns of the input, whatever their names, are not read; an empty table gives an empty table. One map, no shuffle.
+and a very long piece takes rounds by its ranks; a piece is one row, so one that outgrows the memory of DuckDB ends the run (4 million
+letters without a break pass, 10 million do not); other columns of the input, whatever their names, are not read; an empty table
+gives an empty table. One map, no shuffle.
 """
 
 from __future__ import annotations
@@ -30,35 +31,37 @@ from .common import slices, text_rows
 
 #: Rounds of one query; a piece that has pairs left after them goes on in the next query from its last rows.
 ROUNDS = 64
-#: A row is a token: k names its piece (upper half) and position, nk its next token's, id and nid the two ids, m the rank of the
-#: pair they form (the merged token's id). A round contracts, in every piece that has a pair, all places of its least rank
-#: that don't share a token, from the left, so rounds grow with the number of ranks, not with the length. That is the same
-#: as one leftmost place after another unless a pair that arises meanwhile has a lower rank: in such a piece (odd) the round
-#: contracts the leftmost place only (early: the merges of a lower rank than one of their parts). The rows of a piece's last round are its tokens.
+#: The character of id 0. Tokens of a piece are a string with one character for each, four bytes in UTF-8.
+FIRST = 0x10000
+#: A row is a piece. A round takes the leftmost pair of least rank and replaces that pair everywhere, from the left, by the merged
+#: token's character, so rounds grow with the number of ranks, not with the length. That is the same as one leftmost place after
+#: another unless a pair that arises meanwhile has a lower rank or another pair of that rank shares a token with it: in a piece
+#: where any of this can be (odd) the round contracts the leftmost place only. A piece's last row has its tokens.
 STEP = f"""
 CREATE OR REPLACE TABLE last AS
-WITH RECURSIVE t(step, k, nk, id, nid, m) AS (
-  SELECT 0, k, nk, id, nid, merges.m FROM start LEFT JOIN merges ON l = id AND r = nid
+WITH RECURSIVE t(step, w, s) AS (
+  SELECT 0, w, s FROM start
   UNION ALL
-  (WITH least AS MATERIALIZED (SELECT k >> 32 AS w, min(m) AS low FROM t WHERE m IS NOT NULL AND step < {ROUNDS} GROUP BY 1),
-   hit AS (SELECT k, nk, low FROM t JOIN least ON w = k >> 32 AND m = low),
-   chain AS (SELECT *, sum(fresh) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(nk) OVER (ORDER BY k) = k THEN 0 ELSE 1 END AS fresh FROM hit)),
-   pick AS MATERIALIZED (SELECT k, nk, low FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) AS j FROM chain) WHERE j % 2 = 1),
-   pair AS MATERIALIZED (SELECT pick.*, n.nk AS nk2, n.nid AS nid2, p.id AS pid, q.k IS NOT NULL AS beside
-                         FROM pick JOIN t n ON n.k = pick.nk LEFT JOIN t p ON p.nk = pick.k LEFT JOIN pick q ON q.k = n.nk),
-   odd AS (SELECT f.w, min(first) AS first FROM pair JOIN (SELECT k >> 32 AS w, min(k) AS first FROM pair GROUP BY 1) f ON f.w = pair.k >> 32
-           LEFT JOIN early a ON a.l = low AND a.r = nid2 LEFT JOIN early b ON b.l = pid AND b.r = low LEFT JOIN early c ON c.l = low AND c.r = low
-           WHERE a.m < low OR b.m < low OR beside AND c.m < low GROUP BY 1),
-   used AS MATERIALIZED (SELECT pair.* FROM pair LEFT JOIN odd ON odd.w = k >> 32 WHERE odd.w IS NULL OR k = first),
-   kept AS (SELECT t.step + 1 AS step, t.k, coalesce(u.nk2, t.nk) AS nk, coalesce(u.low, t.id) AS id, CASE WHEN u.k IS NULL THEN t.nid ELSE u.nid2 END AS nid
-            FROM t JOIN least ON w = t.k >> 32 LEFT JOIN used u ON u.k = t.k WHERE t.k NOT IN (SELECT nk FROM used)),
-   new AS (SELECT step, kept.k, kept.nk, kept.id, coalesce(x.low, nid) AS nid FROM kept LEFT JOIN used x ON x.k = kept.nk)
-   SELECT step, k, nk, id, nid, merges.m FROM new LEFT JOIN merges ON l = id AND r = nid))
-SELECT w, k, nk, id, nid, m FROM (SELECT k >> 32 AS w, * FROM t) JOIN (SELECT k >> 32 AS w, max(step) AS step FROM t GROUP BY 1) USING (w, step)
+  (WITH least AS (SELECT w, min((m << 32) | i) AS low
+                  FROM (SELECT w, unnest(c) || unnest(c[2:]) AS p, unnest(range(1, len(c))) AS i FROM (SELECT w, string_split(s, '') AS c FROM t WHERE step < {ROUNDS}))
+                  JOIN merges USING (p) GROUP BY w),
+   hit AS (SELECT step, w, s, low >> 32 AS m, low & 4294967295 AS i, chr(({FIRST} + (low >> 32))::INT) AS token FROM t JOIN least USING (w)),
+   every AS MATERIALIZED (SELECT *, replace(s, s[i : i + 1], token) AS shorter FROM hit),
+   one AS (SELECT DISTINCT w FROM every JOIN odd USING (m) WHERE strlen(s) - strlen(shorter) > 4 AND contains(s, part))
+   SELECT step + 1, w, CASE WHEN one.w IS NULL THEN shorter ELSE s[: i - 1] || token || s[i + 2 :] END FROM every LEFT JOIN one USING (w)))
+SELECT w, arg_max(s, step) AS s, max(step) AS n FROM t GROUP BY w
 """
-OPEN = "SELECT DISTINCT w FROM last WHERE m IS NOT NULL"
-DONE = f"SELECT w, string_agg(id, ',' ORDER BY k) AS ids FROM last WHERE w NOT IN ({OPEN}) GROUP BY w"
-REST = f"CREATE OR REPLACE TABLE start AS SELECT k, nk, id, nid FROM last WHERE w IN ({OPEN})"
+#: Tokens in a row, by the rank m of a pair, beside which a round may not contract all places of m at once: the merged token forms
+#: a pair of a lower rank with the token after it, before it or another of its kind; or two pairs of rank m share a token.
+ODD = """
+CREATE TABLE odd AS
+SELECT a.m, a.p || e.p[2:] AS part FROM merges a JOIN merges e ON e.l = a.m WHERE e.m < a.m
+UNION SELECT a.m, e.p[:1] || a.p FROM merges a JOIN merges e ON e.r = a.m WHERE e.m < a.m
+UNION SELECT a.m, a.p || b.p FROM merges a JOIN merges e ON e.l = a.m AND e.r = a.m JOIN merges b ON b.m = a.m WHERE e.m < a.m
+UNION SELECT a.m, a.p || b.p[2:] FROM merges a JOIN merges b ON b.m = a.m AND b.l = a.r WHERE a.l <> a.r
+"""
+DONE = f"SELECT w, array_to_string(list_transform(string_split(s, ''), lambda c: unicode(c) - {FIRST}), ',') FROM last WHERE n < {ROUNDS}"
+REST = f"CREATE OR REPLACE TABLE start AS SELECT w, s FROM last WHERE n = {ROUNDS}"
 
 #: The bytes of each document's ids, one character of the first 256 for a byte.
 DECODE = "SELECT d, string_agg(chars, '' ORDER BY pos) AS chars FROM (SELECT d, pos, chars FROM given JOIN vocab USING (id)) GROUP BY d"
@@ -81,13 +84,13 @@ class PieceCoder:
         self.findall = regex.compile(pattern).findall
         self.known: dict[str, str] = {}  # piece to ids
         self.older: dict[str, str] = {}
-        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.single = np.frombuffer("".join(chr(FIRST + ranks[bytes([i])]) for i in range(256)).encode(), np.uint32)  # a byte's character
         # what does not fit in memory goes to the worker's own temporary folder, never to its current one
         self.spill = tempfile.TemporaryDirectory(prefix="spanlake-bpe-")
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": self.spill.name})
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self._put("merges", {k: np.array([m[j] for m in merges], np.int32) for j, k in enumerate("lrm")})
-        self.db.execute("CREATE TABLE early AS SELECT * FROM merges WHERE m < greatest(l, r)")
+        self._put("merges", {k: np.array([m[j] for m in merges], np.int64) for j, k in enumerate("lrm")} | {"p": [chr(FIRST + l) + chr(FIRST + r) for l, r, _ in merges]})
+        self.db.execute(ODD)
         self._put("vocab", {"id": np.fromiter(ranks.values(), np.int32, len(ranks)), "chars": [t.decode("latin-1") for t in ranks]})
 
     def _put(self, name: str, columns: dict) -> None:
@@ -112,14 +115,10 @@ class PieceCoder:
                     self.db.execute(REST)
 
     def _rows(self, cut: list[tuple[int, bytes]]) -> dict:
-        """Single bytes as rows (k, nk, id, nid); the last of a piece has no next token."""
-        n = np.array([len(b) for _, b in cut], np.int64)
-        ids = self.single[np.frombuffer(b"".join(b for _, b in cut), np.uint8)]
-        ends = np.cumsum(n)
-        k = (np.repeat(np.array([i for i, _ in cut], np.int64), n) << 32) + np.arange(len(ids)) - np.repeat(ends - n, n)
-        last = np.zeros(len(ids), bool)
-        last[ends - 1] = True
-        return {"k": k, "nk": k + 1, "id": ids, "nid": pa.array(np.append(ids[1:], ids[:1]), mask=last)}
+        """Pieces as rows (w, s): a piece's number and its single bytes' characters."""
+        ends = np.cumsum([0] + [4 * len(b) for _, b in cut])
+        chars = self.single[np.frombuffer(b"".join(b for _, b in cut), np.uint8)]
+        return {"w": pa.array([i for i, _ in cut], pa.int64()), "s": pa.LargeStringArray.from_buffers(len(cut), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(chars))}
 
     def encoded(self, texts: list[str]) -> list[str]:
         """Every text's ids, joined by commas."""

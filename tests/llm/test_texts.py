@@ -1,6 +1,7 @@
 """Language, quality, rules, PII, tokens, mixing and HTML on small fixtures."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -295,6 +296,24 @@ def test_bpe_takes_places_that_share_a_token_from_the_left():
     assert bpe.PieceCoder(ranks, P.PATTERN).encoded(texts) == [",".join(map(str, enc.encode_ordinary(t))) for t in texts]
 
 
+def test_bpe_goes_by_rows_of_pieces_with_any_ranks():
+    import tiktoken
+
+    for seed in range(6):
+        rng = random.Random(seed)
+        words = ["".join(w) for k in range(2, 6) for w in itertools.product("ab", repeat=k)]
+        tokens = [bytes([i]) for i in range(256)] + [w.encode() for w in rng.sample(words, 20 + 6 * seed)]
+        # shuffled, so merged tokens form pairs of lower ranks and equal tokens come from different pairs
+        ranks = dict(zip(tokens, rng.sample(range(len(tokens)), len(tokens))))
+        enc = tiktoken.Encoding("own", pat_str="[a-z]+", mergeable_ranks=ranks, special_tokens={})
+        texts = ["".join(rng.choices("ab", k=k)) for k in (2, 5, 9, 20, 60, 300) for _ in range(15)] + [x * k for x in ("a", "ab", "aab") for k in (8, 333)]
+        coder = bpe.PieceCoder(ranks, "[a-z]+")
+        assert coder.encoded(texts) == [",".join(map(str, enc.encode_ordinary(t))) for t in texts]
+        # a round joins and contracts pieces, it does not carry a row for every token
+        coder.encoded(["abab" * 50, "ba" * 77, "!"])
+        assert coder.db.execute("SELECT count(*) FROM last").fetchone()[0] <= 2
+
+
 def test_bpe_equals_tiktoken(spark, weird):
     import public_tokenizers as P
     import tiktoken
