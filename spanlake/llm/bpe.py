@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, text_rows
+from .common import KEPT, small_slices, text_rows
 
 #: Rounds of one query; a piece that has pairs left after them goes on in the next query from its last rows.
 ROUNDS = 64
@@ -151,15 +151,11 @@ def numbers(ids: str) -> np.ndarray:
     return np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
 
 
-_coders: dict[tuple, PieceCoder] = {}
-
-
 def _worker_coder(path: str, pattern: str, shared) -> PieceCoder:
-    """One coder for all tasks of a Python worker."""
-    if (path, pattern) not in _coders:
-        _coders.clear()
-        _coders[path, pattern] = PieceCoder(shared.value, pattern)
-    return _coders[path, pattern]
+    """One coder for all tasks of a Python worker, until the worker takes tasks of another operator."""
+    if KEPT.get("bpe", ())[:2] != (path, pattern):
+        KEPT["bpe"] = (path, pattern, PieceCoder(shared.value, pattern))
+    return KEPT["bpe"][2]
 
 
 def tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -176,13 +172,15 @@ def tokens(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     def run(batches):
         coder = _worker_coder(ranks_path, pattern, shared)
-        for whole in batches:
-            for b in slices(whole, "text"):
-                texts = coder.encoded([t or "" for t in b.column("text").to_pylist()])
-                ids = [numbers(t) for t in texts]
-                columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]), pa.array([hashlib.sha256(t).hexdigest() for t in coder.decoded(ids)])]
-                if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], schema=schema)
+
+        def coded(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = coder.encoded([t or "" for t in b.column("text").to_pylist()])
+            ids = [numbers(t) for t in texts]
+            columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts]), pa.array([hashlib.sha256(t).hexdigest() for t in coder.decoded(ids)])]
+            if with_ids:
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], schema=schema)
+
+        yield from map(coded, small_slices(batches, "text", 4_000_000, "bpe"))
 
     return text_rows(docs, id_col, text_col).mapInArrow(run, ddl)

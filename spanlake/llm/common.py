@@ -96,17 +96,24 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterato
         at = end
 
 
-def small_slices(batches, column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def small_slices(batches, column: str = "text", most: int = 1_000_000, own: str = "") -> Iterator[pa.RecordBatch]:
     """All rows of the batches in runs as of `slices`; what the worker freed goes back to the system between batches and at the end,
     as a worker that waits for its next task keeps its memory."""
     for whole in batches:
         yield from slices(whole, column, most)
         del whole
-        give_back()
+        give_back(own)
 
 
-def give_back() -> None:
-    """Freed memory of this process, of Arrow's pool and of the allocator, goes back to the system."""
+#: What operators keep in a Python worker from task to task, by the operator's name.
+KEPT: dict[str, tuple] = {}
+
+
+def give_back(own: str = "") -> None:
+    """Freed memory of this process, of Arrow's pool and of the allocator, goes back to the system; so does what operators other
+    than `own` keep, as the worker has turned to another stage."""
+    for name in KEPT.keys() - {own}:
+        del KEPT[name]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

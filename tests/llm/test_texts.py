@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -314,6 +315,27 @@ def test_bpe_goes_by_rows_of_pieces_with_any_ranks():
         assert coder.db.execute("SELECT count(*) FROM last").fetchone()[0] <= 2
 
 
+def test_bpe_coder_goes_when_its_worker_takes_another_operator():
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from spanlake.llm import common
+
+    def worker_coder():
+        return bpe._worker_coder("path", "[a-z]+", SimpleNamespace(value={bytes([i]): i for i in range(256)}))
+
+    def read(own):
+        return list(common.small_slices([pa.RecordBatch.from_pydict({"text": ["a"]})] * 2, own=own))
+
+    first = weakref.ref(worker_coder())
+    read("bpe")
+    assert first() is worker_coder()
+    read("")
+    assert first() is None and worker_coder().encoded(["ab"]) == ["97,98"]
+    common.give_back()
+
+
 def test_bpe_equals_tiktoken(spark, weird):
     import public_tokenizers as P
     import tiktoken
